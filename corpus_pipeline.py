@@ -1,8 +1,59 @@
-"""Corpus pipeline: quality, exact copies, near copies, source mixture, tokens. Each stage takes (spark, docs, sf_dir)."""
+"""Corpus pipeline: quality, exact copies, near copies, source mixture, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
+columns of documents. run() writes each stage to the shared folder and reads it back for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fairlead.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from fairlead.llm.common import load, materialize
+from fairlead.llm.queries import vocab_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, load(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return exact_dedup.keep_one(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the least doc_id."""
+    return ngram_join.keep_one_of_each(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mixture."""
+    return bpe.bpe_encode(docs, vocab_path(), with_ids=False)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", source_mixture),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, "pipeline")
+    return docs
