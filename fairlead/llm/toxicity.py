@@ -117,7 +117,7 @@ class ToxicField:
                 was = ahead[k - 1] if k else into
                 z = [was[:, 0] * a[0] * u, was[:, 0] * a[1] * v, was[:, 1] * a[2] * u, was[:, 1] * a[3] * v]
                 s = sum(z)
-                inner = real[:, k] & ~(head if k == 0 else False)
+                inner = real[:, k] & ~head if k == 0 else real[:, k]
                 joint += np.array([[(z[0] / s)[inner].sum(), (z[1] / s)[inner].sum()], [(z[2] / s)[inner].sum(), (z[3] / s)[inner].sum()]])
                 if k == 0:
                     first = np.array([(1 - out[0])[head].sum(), out[0][head].sum()])
@@ -150,12 +150,21 @@ class ToxicField:
     def fit(self, texts: list[str], y: np.ndarray, rounds: int = 5) -> ToxicField:
         raw = [t.encode("utf-8", "replace") for t in texts]
         n_docs = len(raw)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         parts = []
-        for lo in range(0, n_docs, 400):
-            hi = min(lo + 400, n_docs)
+        #: Every third document only calibrates the score, so that words the weights have learned by heart don't.
+        spare = np.arange(n_docs) % 3 == 2
+        if min(y[spare].sum(), (1 - y[spare]).sum()) < 5:
+            spare[:] = False
+        order = np.argsort(spare, kind="stable")
+        learn = int((~spare).sum())
+        raw, y = [raw[i] for i in order], y[order]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        cuts = [*range(0, learn, 400), *range(learn, n_docs, 400), n_docs]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             _, _, doc, f = features(np.frombuffer(b"".join(raw[lo:hi]), np.uint8), offsets[lo : hi + 1] - offsets[lo])
             parts.append((lo, hi, doc, f))
+        checks = [p for p in parts if p[0] >= learn] or parts
+        parts = [p for p in parts if p[0] < learn]
         tags = self._token_labels(parts, y)
         seen = np.full(BUCKETS, 1e-6, np.float32)
         self.trans = np.array([[0.0, -4.0], [0.0, -2.0]])
@@ -177,8 +186,8 @@ class ToxicField:
                 self.trans += 0.5 * (real - joint) / max(joint.sum(), 1)
                 heads = np.flatnonzero(np.concatenate([[True], ~same]))
                 self.begin += 0.5 * (np.bincount(tag[heads].astype(int), minlength=2) - first) / max(first.sum(), 1)
-        x = np.concatenate([self.summary(self.marginals(self.emissions(f), doc, hi - lo), doc, hi - lo) for lo, hi, doc, f in parts])
-        self.top = fit_logistic(x, y, ridge=1e-2)
+        x = np.concatenate([self.summary(self.marginals(self.emissions(f), doc, hi - lo), doc, hi - lo) for lo, hi, doc, f in checks])
+        self.top = fit_logistic(x, y[checks[0][0] : checks[-1][1]], ridge=1e-3)
         return self
 
     @staticmethod
@@ -191,7 +200,7 @@ class ToxicField:
                 at, of = pair % BUCKETS, y[lo + pair // BUCKETS] > 0
                 toxic += np.bincount(at[of], minlength=BUCKETS)
                 clean += np.bincount(at[~of], minlength=BUCKETS)
-        share = y.mean()
+        share = np.concatenate([y[lo:hi] for lo, hi, _, _ in parts]).mean()
         n = np.maximum(toxic + clean, 1)
         gain = toxic * np.log(np.maximum(toxic, 1e-9) / (n * share)) + clean * np.log(np.maximum(clean, 1e-9) / (n * (1 - share)))
         sure = (toxic / n > share + 0.6 * (1 - share)) & (gain > np.log(np.count_nonzero(toxic) + 2.0) + 1)
