@@ -128,11 +128,17 @@ class ByteNetwork:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNetwork | None:
-    """Fitted on rows whose crc32(doc_id) mod 3 is not 1; None where a label is missing."""
+    """Fitted on rows whose crc32(doc_id) mod 3 is not 1; None where a label is missing.
+
+    The sample holds as many documents of each label; the last bias is then set to the labels' shares in all those rows.
+    """
     texts, y = labelled_sample(docs, labels, "quality", ~held_out(1, 3), {0: sample, 1: sample})
     if not len(y) or y.min() == y.max():
         return None
-    return ByteNetwork().fit(texts, y)
+    network = ByteNetwork().fit(texts, y)
+    share = labels.filter(~held_out(1, 3)).agg(F.avg(F.when(F.col("quality").isin(0, 1), F.col("quality")))).first()[0]
+    network.out_bias += np.float32(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
+    return network
 
 
 def score_quality(docs: DataFrame, network: ByteNetwork | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
