@@ -31,7 +31,9 @@ WORDS = 5
 #: 100 * overlap >= 75 * union, as overlap and sizes: 7 * overlap >= 3 * (size + size).
 PER_OVERLAP, PER_SIZE = 7, 3
 #: Postings that a task gathers before it sends them on, and how often one n-gram must be among them to count as frequent.
-GATHERED, FREQUENT = 1_500_000, 48
+GATHERED, FREQUENT = 1_200_000, 48
+#: Postings of a block of columns, and keys of a part of the classes that are left; both bound what one task holds.
+BLOCK, PART = 3_000_000, 1_000_000
 #: Postings of a cluster that one task holds; larger clusters are tiled.
 TILE = 3_000_000
 _KEY_BITS = 48
@@ -103,49 +105,107 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def _normal_key(h: np.ndarray, blocks: int) -> np.ndarray:
-    """The key that a hash has inside its block, for hashes that went past the blocks."""
-    block = (h >> np.uint64(44)) * np.uint64(blocks) >> np.uint64(20)
-    return (h & _KEY_MASK) | (block % np.uint64(1 << 16) << np.uint64(_KEY_BITS))
+def _split_rows(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, counts) of the runs of a sorted row index; runs over 65535 are cut, so that a count takes two bytes."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    n = np.diff(np.append(start, len(row)))
+    pieces = -(-n // 65535)
+    heads = np.repeat(start, pieces) + 65535 * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return heads, np.diff(np.append(heads, len(row))).astype(np.uint16)
+
+
+#: Packed postings: of each owner in turn its name, the size of its set (0: told elsewhere), how many keys, and the keys.
+_PACKED = pa.schema([("to", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("often", pa.binary())])
+_PACKED_SQL = "to int, owners binary, sizes binary, counts binary, keys binary, often binary"
+
+
+def _packed_row(to: int, owner: np.ndarray, size: np.ndarray | None, row: np.ndarray, keys: bytes, often: bytes = b"") -> tuple:
+    heads, counts = _split_rows(row)
+    r = row[heads]
+    return to, owner[r].tobytes(), b"" if size is None else size[r].astype(np.int32).tobytes(), counts.tobytes(), keys, often
+
+
+def _batch(rows: list[tuple]) -> pa.Table:
+    if not rows:
+        return _PACKED.empty_table()
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
+
+def _pack_by(to: np.ndarray, owner: np.ndarray, size: np.ndarray | None, row: np.ndarray, h: np.ndarray, often: np.ndarray | None = None) -> list[tuple]:
+    """One packed row for each value of `to`, which has an entry a posting; postings come sorted by row."""
+    order = np.argsort(to, kind="stable")
+    out = []
+    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+        out.append(_packed_row(int(to[part[0]]), owner, size, row[part], h[part].tobytes(), b"" if often is None else often[part].tobytes()))
+    return out
+
+
+def _opened(table: pa.Table, short: bool = False) -> tuple[np.ndarray, ...]:
+    """(owner, size, count, packed row) of each entry, and all keys and their `often`, from packed rows."""
+    col = lambda c: table.column(c).to_pylist()
+    owners = [np.frombuffer(x, np.int64) for x in col("owners")]
+    sizes = [np.frombuffer(x, np.int32) if x else np.zeros(len(o), np.int32) for x, o in zip(col("sizes"), owners, strict=True)]
+    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in col("counts")]).astype(np.int64)
+    keys = np.concatenate([_unpack(x) if short else np.frombuffer(x, np.uint64) for x in col("keys")])
+    often = np.concatenate([np.frombuffer(x, np.int32) for x in col("often")])
+    return np.concatenate(owners), np.concatenate(sizes), counts, np.repeat(np.arange(len(owners)), [len(o) for o in owners]), keys, often
 
 
-_POSTINGS = pa.schema([("block", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+def _block_of(h: np.ndarray, blocks: int) -> np.ndarray:
+    return ((h >> np.uint64(44)) * np.uint64(blocks) >> np.uint64(20)).astype(np.int32)
 
 
-def _deal(owner: np.ndarray, size: np.ndarray, row: np.ndarray, h: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """Postings (row of owner, hash) as one row a block; frequent n-grams go past the blocks, under block -1 - part."""
+def _deal(owner: np.ndarray, size: np.ndarray, row: np.ndarray, h: np.ndarray, blocks: int, buckets: int) -> pa.Table:
+    """Postings (row of owner, hash), packed by block with 48-bit keys.
+
+    Set sizes go by `to` = -1 - bucket straight to where a class's postings meet again, and so do the postings of n-grams
+    that are frequent here; their blocks only learn, from an owner named 0, that they are shared.
+    """
     values, counts = np.unique(h, return_counts=True)
     hot = values[counts >= FREQUENT]
-    block = ((h >> np.uint64(44)) * np.uint64(blocks) >> np.uint64(20)).astype(np.int32)
-    if len(hot):
-        frequent = np.isin(h, hot)
-        block = np.where(frequent, -1 - (owner[row] % blocks).astype(np.int32), block)
-    order = np.argsort(block, kind="stable")
+    block = _block_of(h, blocks)
+    frequent = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
     out = []
-    cuts = np.flatnonzero(np.diff(block[order])) + 1
-    for part in np.split(order, cuts):
-        r = row[part]
-        heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        b = int(block[part[0]])
-        keys = _normal_key(h[part], blocks) if b < 0 else h[part] & _KEY_MASK
-        out.append((b, owner[r[heads]].tobytes(), size[r[heads]].astype(np.int32).tobytes(), np.diff(np.append(heads, len(r))).astype(np.int32).tobytes(), keys.tobytes() if b < 0 else _pack(keys)))
-    if len(hot):  # the blocks of the frequent n-grams learn that they are shared
-        own = ((hot >> np.uint64(44)) * np.uint64(blocks) >> np.uint64(20)).astype(np.int32)
-        for b in np.unique(own).tolist():
-            keys = hot[own == b] & _KEY_MASK
-            out.append((b, np.zeros(1, np.int64).tobytes(), np.zeros(1, np.int32).tobytes(), np.array([len(keys)], np.int32).tobytes(), _pack(keys)))
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _POSTINGS, strict=True)], schema=_POSTINGS)
-
-
-def _postings(docs: DataFrame, blocks: int) -> DataFrame:
+    some = np.flatnonzero(~frequent)
+    order = some[np.argsort(block[some], kind="stable")]
+    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+        out.append(_packed_row(int(block[part[0]]), owner, None, row[part], _pack(h[part] & _KEY_MASK)))
+    own = _block_of(hot, blocks)
+    for b in np.unique(own).tolist():
+        keys = hot[own == b] & _KEY_MASK
+        out.append(_packed_row(b, np.zeros(1, np.int64), None, np.zeros(len(keys), np.int64), _pack(keys)))
+    bucket = (owner % buckets).astype(np.int32)
+    row, h = row[frequent], _whole_key(h[frequent], blocks)
+    n = np.bincount(row, minlength=len(owner))
+    at = np.concatenate([[0], np.cumsum(n)])
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if n[part].max() > 65535:  # a very long text: its frequent n-grams in pieces
+            for i in part:
+                for lo in range(0, max(1, int(n[i])), 65535):
+                    piece = h[at[i] + lo : min(at[i] + lo + 65535, at[i + 1])]
+                    out.append((-1 - int(bucket[i]), owner[[i]].tobytes(), size[[i]].astype(np.int32).tobytes(), np.array([len(piece)], np.uint16).tobytes(), piece.tobytes(), b""))
+            continue
+        out.append((-1 - int(bucket[part[0]]), owner[part].tobytes(), size[part].astype(np.int32).tobytes(), n[part].astype(np.uint16).tobytes(), h[_ranges(at[part], n[part])].tobytes(), b""))
+    return _batch(out)
+
+
+def _whole_key(h: np.ndarray, blocks: int) -> np.ndarray:
+    """The key of a hash across blocks: its 48 low bits under its block's number."""
+    return (h & _KEY_MASK) | (_block_of(h, blocks).astype(np.uint64) % np.uint64(1 << 16) << np.uint64(_KEY_BITS))
+
+
+def _postings(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         held: list[tuple] = []
         total = 0
 
         def flush():
-            owner, size, n, h = (np.concatenate(c) for c in zip(*held, strict=True))
-            return _deal(owner, size, np.repeat(np.arange(len(n)), n), h, blocks)
+            owner, n, h = (np.concatenate(c) for c in zip(*held, strict=True))
+            return _deal(owner, n, np.repeat(np.arange(len(n)), n), h, blocks, buckets).to_batches()
 
         for batch in batches:
             for _, data, offsets in slices(batch):
@@ -157,113 +217,105 @@ def _postings(docs: DataFrame, blocks: int) -> DataFrame:
                 if not new:
                     continue
                 new = np.array(new)
-                held.append((names[new], n[new], n[new], h[_ranges(at[new], n[new])]))
-                total += len(held[-1][3])
+                held.append((names[new], n[new], h[_ranges(at[new], n[new])]))
+                total += len(held[-1][2])
                 if total >= GATHERED:
-                    yield flush()
+                    yield from flush()
                     held, total = [], 0
         if held:
-            yield flush()
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "block int, owners binary, sizes binary, counts binary, keys binary")
+            yield from flush()
 
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, _PACKED_SQL)
 
-_SHARED = pa.schema([("owner", pa.int64()), ("size", pa.int32()), ("n", pa.int32()), ("keys", pa.binary())])
 
-
-def _shared(owner: np.ndarray, size: np.ndarray, row: np.ndarray, h: np.ndarray) -> pa.Table:
-    """Rows (owner, size, n, keys) of postings that are sorted by row."""
-    if not len(row):
-        return _SHARED.empty_table()
-    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    n = np.diff(np.append(heads, len(row)))
-    ends = np.concatenate([[0], np.cumsum(n * 8)]).astype(np.int32)
-    keys = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h.astype("<u8").tobytes())])
-    return pa.Table.from_arrays([pa.array(owner[row[heads]]), pa.array(size[row[heads]]), pa.array(n.astype(np.int32)), keys], schema=_SHARED)
-
-
-def _screen_block(table: pa.Table) -> pa.Table:
-    """The postings of a block whose n-gram more than one class has."""
-    block = table.column("block")[0].as_py()
-    parts = [table.column(c).to_pylist() for c in ("owners", "sizes", "counts", "keys")]
-    owner = np.concatenate([np.frombuffer(x, np.int64) for x in parts[0]])
-    size = np.concatenate([np.frombuffer(x, np.int32) for x in parts[1]])
-    n = np.concatenate([np.frombuffer(x, np.int32) for x in parts[2]]).astype(np.int64)
-    h = np.concatenate([np.frombuffer(x, np.uint64) if block < 0 else _unpack(x) for x in parts[3]])
-    at = np.concatenate([[0], np.cumsum(n)])
+def _screen_block(table: pa.Table, buckets: int) -> pa.Table:
+    """The postings of a block whose n-gram more than one class has, packed by where their class meets again."""
+    block = table.column("to")[0].as_py()
     if block < 0:
-        return _shared(owner, size, np.repeat(np.arange(len(n)), n), h)
-    _, first = np.unique(owner, return_index=True)  # a class that several tasks sent counts once
-    first = np.sort(np.concatenate([first[owner[first] != 0], np.flatnonzero(owner == 0)]))
-    row = np.repeat(first, n[first])
-    h = h[_ranges(at[first], n[first])]
+        return table
+    owner, _, n, packed, h, _ = _opened(table, short=True)
+    at = np.concatenate([[0], np.cumsum(n)])
+    _, first, back = np.unique(owner, return_index=True, return_inverse=True)  # a class that several tasks sent counts once
+    keep = np.flatnonzero((packed == packed[first[back]]) | (owner == 0))
+    row = np.repeat(keep, n[keep])
+    h = h[_ranges(at[keep], n[keep])]
     order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
+    same = h[order[1:]] == h[order[:-1]]
     shared = np.zeros(len(h), bool)
     shared[order[1:][same]] = True
     shared[order[:-1][same]] = True
     shared &= owner[row] != 0
-    row, h = row[shared], h[shared]
-    return _shared(owner, size, row, h | (np.uint64(block % (1 << 16)) << np.uint64(_KEY_BITS)))
+    row, h = row[shared], h[shared] | (np.uint64(block % (1 << 16)) << np.uint64(_KEY_BITS))
+    return _batch([(-1 - t[0], *t[1:]) for t in _pack_by((owner[row] % buckets).astype(np.int32), owner, None, row, h)])
 
 
-def _keys_of(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x, np.uint64) for x in row]) if isinstance(row, list) else np.frombuffer(row, np.uint64) for row in column.to_pylist()]
+def _regrouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(owner, size, offsets, keys, often) with the entries of each owner together and its keys once, ascending."""
+    owner, size, n, _, keys, often = _opened(table)
+    names, back = np.unique(owner, return_inverse=True)
+    whole = np.zeros(len(names), np.int32)
+    np.maximum.at(whole, back, size)
+    row = np.repeat(back, n)
+    order = np.lexsort((keys, row))
+    row, keys = row[order], keys[order]
+    one = np.ones(len(keys), bool)
+    one[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    often = often[order][one] if len(often) else None
+    return names, whole, np.searchsorted(row[one], np.arange(len(names) + 1)), keys[one], often
 
 
-def _spread(candidates: DataFrame, parts: int) -> DataFrame:
-    """(part, owner, size, keys) with a class's keys dealt by key, so that all postings of a key meet in one part."""
+_CLASS = pa.schema([("owner", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("rare", pa.binary())])
+_CLASS_SQL = "owner long, size int, keys binary, rare binary"
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for owner, size, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                k = np.frombuffer(keys, np.uint64)
-                p = (mix64(k.copy()) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(p, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(p[order])) + 1) if len(k) else []:
-                    out.append((int(p[part[0]]), owner, size, k[part].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["part", "owner", "size", "keys"])
 
-    return candidates.select("owner", "size", "keys").mapInArrow(run, "part int, owner long, size int, keys binary")
+def _gather(table: pa.Table) -> pa.Table:
+    """Classes whose shared n-grams make up 0.75 of their set or more."""
+    owner, size, at, keys, _ = _regrouped(table)
+    some = np.flatnonzero(4 * np.diff(at) >= 3 * size.astype(np.int64))
+    rows = [keys[at[i] : at[i + 1]].tobytes() for i in some]
+    return pa.Table.from_arrays([pa.array(owner[some]), pa.array(size[some]), pa.array(rows, pa.binary()), pa.array([b""] * len(rows), pa.binary())], schema=_CLASS)
 
 
-_COUNTED = pa.schema([("owner", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("often", pa.binary())])
+def _spread(classes: DataFrame, column: str, parts: int) -> DataFrame:
+    """Keys of classes, packed by part, so that all postings of a key meet in one."""
 
+    def run(batches):
+        for batch in batches:
+            lists = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            if not lists:
+                continue
+            k = np.concatenate(lists)
+            row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            to = (mix64(k.copy()) % np.uint64(parts)).astype(np.int32)
+            yield from _batch(_pack_by(to, batch.column(0).to_numpy(), batch.column(1).to_numpy(), row, k)).to_batches()
 
-def _count_part(table: pa.Table) -> pa.Table:
-    """How many classes have each key; keys of a single class go."""
-    keys = _keys_of(table.column("keys"))
-    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    k = np.concatenate(keys)
+    return classes.select("owner", "size", column).mapInArrow(run, _PACKED_SQL)
+
+
+def _count_part(table: pa.Table, buckets: int) -> pa.Table:
+    """How many classes have each key, packed by where their class meets again; keys of a single class go."""
+    owner, size, n, _, k, _ = _opened(table)
+    row = np.repeat(np.arange(len(n)), n)
     _, back, often = np.unique(k, return_inverse=True, return_counts=True)
     often = often[back].astype(np.int32)
     keep = often > 1
     row, k, often = row[keep], k[keep], often[keep]
-    cuts = np.searchsorted(row, np.arange(len(keys) + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    return pa.Table.from_arrays([table.column("owner").take(some), table.column("size").take(some), pa.array([k[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()), pa.array([often[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())], schema=_COUNTED)
+    return _batch(_pack_by((owner[row] % buckets).astype(np.int32), owner, size, row, k, often))
 
 
-def _prefixes(counted: DataFrame) -> DataFrame:
-    """owner, size, keys (all that are shared) and rare: the rarest keys, as many as a partner cannot avoid all."""
+def _prefix(table: pa.Table) -> pa.Table:
+    """Classes still with enough shared keys; rare: their rarest keys, as many as a partner cannot avoid all."""
+    owner, size, at, keys, often = _regrouped(table)
+    out = []
+    for i in np.flatnonzero(4 * np.diff(at) >= 3 * size.astype(np.int64)).tolist():
+        k, o, whole = keys[at[i] : at[i + 1]], often[at[i] : at[i + 1]], int(size[i])
+        most = whole - -(-3 * whole // 4) + 1 - (whole - len(k))
+        out.append((int(owner[i]), whole, k.tobytes(), k[np.lexsort((k, o))[:most]].tobytes()))
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _CLASS, strict=True)], schema=_CLASS) if out else _CLASS.empty_table()
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for owner, size, keys, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, o = np.concatenate([np.frombuffer(x, np.uint64) for x in keys]), np.concatenate([np.frombuffer(x, np.int32) for x in often])
-                if 4 * len(k) < 3 * size:
-                    continue
-                most = size - -(-3 * size // 4) + 1 - (size - len(k))
-                rare = k[np.lexsort((k, o))[:most]]
-                out.append((owner, size, k.tobytes(), rare.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["owner", "size", "keys", "rare"])
 
-    grouped = counted.groupBy("owner", "size").agg(F.collect_list("keys").alias("keys"), F.collect_list("often").alias("often"))
-    return grouped.mapInArrow(run, "owner long, size int, keys binary, rare binary")
+def _keys_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -290,10 +342,9 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _part_edges(table: pa.Table) -> pa.Table:
     """Stars of the classes that the keys of a part join."""
-    keys = _keys_of(table.column("keys"))
-    owner, back = np.unique(table.column("owner").to_numpy(), return_inverse=True)
-    row = np.repeat(back, [len(k) for k in keys])
-    k = np.concatenate(keys)
+    names, _, n, _, k, _ = _opened(table)
+    owner, back = np.unique(names, return_inverse=True)
+    row = np.repeat(back, n)
     order = np.lexsort((row, k))
     k, row = k[order], row[order]
     same = np.flatnonzero(k[1:] == k[:-1])
@@ -371,24 +422,25 @@ def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return chosen.mapInArrow(run, "doc_id long, row_key long, n_shingles long, owner long")
 
 
-def class_links(docs: DataFrame, tile: int = TILE, text: str = "text") -> DataFrame:
-    """(node, root) for the set classes that link with another: root is the least class name of the component."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    blocks = min(2 * parts, 1 << 16)
-    postings = _postings(docs.select(F.col(text).alias("text")), blocks)
-    shared = postings.groupBy("block").applyInArrow(_screen_block, "owner long, size int, n int, keys binary")
-    kept = shared.groupBy("owner", "size").agg(F.sum("n").alias("n"), F.collect_list("keys").alias("keys")).filter("4 * n >= 3 * size")
+def _parts(classes: DataFrame, column: str) -> int:
+    """Parts of about PART keys."""
+    return max(1, -(-(classes.agg(F.sum(F.length(column))).first()[0] or 0) // (8 * PART)))
 
-    def joined(batches):
-        for batch in batches:
-            keys = [np.concatenate([np.frombuffer(x, np.uint64) for x in row]).tobytes() for row in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], names=["owner", "size", "keys"])
 
-    candidates = materialize(kept.select("owner", "size", "keys").mapInArrow(joined, "owner long, size int, keys binary"), "join-candidates")
-    counted = _spread(candidates, parts).groupBy("part").applyInArrow(_count_part, "owner long, size int, keys binary, often binary")
-    rows = materialize(_prefixes(counted), "join-rows")
-    near = _spread(rows.select("owner", "size", F.col("rare").alias("keys")), parts).groupBy("part").applyInArrow(_part_edges, "a long, b long")
+def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: DataFrame | None = None) -> DataFrame:
+    """(node, root) for the set classes that link with another: root is the least class name of the component."""
+    spark = docs.sparkSession
+    sets = materialize(set_table(docs, text=text), "join-sets") if sets is None else sets
+    buckets = shuffle_partitions(spark)
+    total = sets.groupBy("owner").agg(F.max("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
+    blocks = min(max(1, -(-total // BLOCK)), 1 << 20)
+    postings = _postings(docs.select(F.col(text).alias("text")), blocks, buckets)
+    shared = postings.groupBy("to").applyInArrow(lambda t: _screen_block(t, buckets), _PACKED_SQL)
+    candidates = materialize(shared.groupBy("to").applyInArrow(_gather, _CLASS_SQL), "join-candidates")
+    parts = _parts(candidates, "keys")
+    counted = _spread(candidates, "keys", parts).groupBy("to").applyInArrow(lambda t: _count_part(t, parts), _PACKED_SQL)
+    rows = materialize(counted.groupBy("to").applyInArrow(_prefix, _CLASS_SQL), "join-rows")
+    near = _spread(rows, "rare", _parts(rows, "rare")).groupBy("to").applyInArrow(_part_edges, "a long, b long")
     clusters = least_labels(near, "join-clusters")
     members = rows.join(clusters.select(F.col("node").alias("owner"), F.col("root").alias("cluster")), "owner")
     sized = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("keys")) / (8 * tile)).cast("int").alias("tiles"))
@@ -401,7 +453,7 @@ def class_links(docs: DataFrame, tile: int = TILE, text: str = "text") -> DataFr
 def similarity_components(docs: DataFrame, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_key, n_shingles, owner (set class), component_id: one row per input row."""
     sets = materialize(set_table(docs, doc_id, text), "join-sets")
-    links = class_links(docs, tile, text)
+    links = class_links(docs, tile, text, sets)
     classes = sets.filter("n_shingles > 0").groupBy("owner").agg(F.min("doc_id").alias("least"))
     classes = classes.join(links.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
