@@ -25,6 +25,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEPT_PRETOKENS = 500_000
 #: Positions that one occurrence index covers, so that its memory is bounded whatever the partition holds.
 INDEX_BYTES = 1 << 20
+#: Text that is split and encoded together; its distinct pretokens share one index.
+TEXT_BYTES = 1 << 21
 _PAIR = 1 << 20
 
 
@@ -408,7 +410,7 @@ def bpe_encode(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: s
     def run(batches):
         vocab = vocabulary(vocab_path)
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, most=TEXT_BYTES):
                 ids = vocab.encode_batch(_texts(data, offsets))
                 n = [len(x) // 4 for x in ids]
                 cols = [rows.column(0), pa.array(n, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(vocab.decode(x)).hexdigest() for x in ids])]
@@ -429,7 +431,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 512, doc_id: str
     def run(batches):
         vocab = vocabulary(vocab_path)
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, most=TEXT_BYTES):
                 n = vocab.count_batch(_texts(data, offsets))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -443,7 +445,7 @@ def truncation_points(docs: DataFrame, vocab_path: str, budgets: list[int], doc_
     def run(batches):
         vocab = vocabulary(vocab_path)
         for batch in batches:
-            for rows, data, offsets in slices(batch):
+            for rows, data, offsets in slices(batch, most=TEXT_BYTES):
                 out = []
                 for i, t in zip(rows.column(0).to_pylist(), _texts(data, offsets), strict=True):
                     counts = vocab.prefix_counts(t)

@@ -17,7 +17,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that one numpy pass handles at most, unless a single document is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
