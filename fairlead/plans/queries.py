@@ -539,7 +539,7 @@ def spearman(spark, sf):
     return a.select("n", *[r6(c) for c in a.columns[1:]])
 
 
-@query(f"WITH {_SIG}, {_NAIVE}, J AS (SELECT signal AS a, naive AS b FROM SIG JOIN NS USING (series, day) WHERE e IS NOT NULL), C AS (SELECT a, b, count(*) AS n FROM J GROUP BY 1, 2), T AS (SELECT sum(n) AS n, sum(n) FILTER (a = b) AS same FROM C), PE AS (SELECT sum(x * y) AS xy FROM (SELECT a AS l, sum(n) AS x FROM C GROUP BY 1) JOIN (SELECT b AS l, sum(n) AS y FROM C GROUP BY 1) USING (l)) SELECT CAST(n AS BIGINT) AS n, round(same / n, 6) AS observed, round((same / n - xy / (n * n)) / (1 - xy / (n * n)), 6) AS kappa FROM T, PE")
+@query(f"WITH {_SIG}, {_NAIVE}, J AS (SELECT signal AS a, naive AS b FROM SIG JOIN NS USING (series, day) WHERE e IS NOT NULL), C AS (SELECT a, b, count(*) AS n FROM J GROUP BY 1, 2), T AS (SELECT sum(n) AS n, sum(n) FILTER (a = b) AS same FROM C), PE AS (SELECT sum(x * y) AS xy FROM (SELECT a AS l, sum(n) AS x FROM C GROUP BY 1) JOIN (SELECT b AS l, sum(n) AS y FROM C GROUP BY 1) USING (l)) SELECT CAST(n AS BIGINT) AS n, round(same / n, 6) AS observed, CASE WHEN xy / (n * n) < 1 THEN round((same / n - xy / (n * n)) / (1 - xy / (n * n)), 6) END AS kappa FROM T, PE")
 def kappa(spark, sf):
     s = A.order_series(spark, sf)
     n = signals.naive(s).select("series", "day", F.col("signal").alias("b"))
