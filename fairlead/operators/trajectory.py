@@ -54,19 +54,41 @@ def _scan(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, sog: np.ndarray, cog:
 def dead_reckoning(p: DataFrame, thresholds: tuple[float, ...] = (C.DR_THRESHOLD_M,), gap_s: float = C.DR_GAP_S, order: str = "event_id") -> DataFrame:
     """mmsi, event order, ts, lat, lon, sog, cog, threshold, kept, error (of dropped points). Ships are independent.
 
-    Sequential by nature: one ship's points go to one pandas group, which a ship's message rate bounds.
+    Sequential by nature. Ships are dealt to partitions and stand there in order, so a task scans one ship after another
+    without a call per ship; it holds the rows of a batch and of the ship that the batch cuts.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["us", order], kind="stable")
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        ship = rows["mmsi"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], ship[1:] != ship[:-1], [True]]))
+        t = rows["us"].to_numpy() / 1e6
+        values = [rows[c].to_numpy(float) for c in ("lat", "lon", "sog", "cog")]
         out = []
         for limit in thresholds:
-            kept, error = _scan(g["us"].to_numpy() / 1e6, *(g[c].to_numpy(float) for c in ("lat", "lon", "sog", "cog")), limit, gap_s)
-            out.append(pd.DataFrame({"mmsi": g["mmsi"], order: g[order], "threshold": limit, "kept": kept, "error": np.where(np.isnan(error), None, error)}))
+            parts = [_scan(t[lo:hi], *(v[lo:hi] for v in values), limit, gap_s) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+            kept, error = (np.concatenate(x) for x in zip(*parts, strict=True))
+            out.append(pd.DataFrame({"mmsi": ship, order: rows[order].to_numpy(), "threshold": limit, "kept": kept, "error": pd.array(error, "Float64").copy()}))
+            out[-1]["error"] = out[-1]["error"].mask(np.isnan(error))
         return pd.concat(out)
 
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if b.empty:
+                continue
+            last = b["mmsi"].to_numpy() == b["mmsi"].iloc[-1]
+            if held and held[-1]["mmsi"].iloc[-1] == b["mmsi"].iloc[-1] and last.all():
+                held.append(b)
+                continue
+            whole = [*held, b[~last]]
+            if sum(map(len, whole)):
+                yield scan(pd.concat(whole))
+            held = [b[last]]
+        if held:
+            yield scan(pd.concat(held))
+
     q = p.select("mmsi", order, micros("ts").alias("us"), "lat", "lon", "sog", "cog")
-    return q.groupBy("mmsi").applyInPandas(run, f"mmsi long, {order} long, threshold double, kept boolean, error double")
+    return q.filter("mmsi is not null").repartition("mmsi").sortWithinPartitions("mmsi", "us", order).mapInPandas(run, f"mmsi long, {order} long, threshold double, kept boolean, error double")
 
 
 def dr_summary(dr: DataFrame) -> DataFrame:
