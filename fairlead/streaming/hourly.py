@@ -22,8 +22,8 @@ def hourly_stream(p: DataFrame, late: str = "1 hour", box: C.Box = C.STUDY_BOX)
     return t.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("messages"), F.approx_count_distinct("mmsi").alias("ships")).select(F.col("window.start").alias("hour"), "messages", "ships")
 
 
-def crossing_stream(p: DataFrame, gate: Gate, max_gap_s: float = C.CROSSING_GAP_S, idle_ms: int = 3_600_000) -> DataFrame:
-    """mmsi, ts, direction as ships cross; the state is each ship's last point and goes after an idle hour."""
+def crossing_stream(p: DataFrame, gate: Gate, max_gap_s: float = C.CROSSING_GAP_S, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """mmsi, ts, direction as ships cross; the state is each ship's last point and goes after an idle hour (None: never)."""
     left, right = gate.canonical()[2]
 
     def step(key, frames, state: GroupState):
@@ -38,8 +38,9 @@ def crossing_stream(p: DataFrame, gate: Gate, max_gap_s: float = C.CROSSING_GAP_
                 out.append((key[0], us, left if s == 1 else right))
             last = (int(us), int(s), bool(on))
         state.update(last)
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["mmsi", "us", "direction"])
 
     q = p.select("mmsi", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), gate.side(F.col("lat"), F.col("lon")).alias("s"), gate.inside(F.col("lat"), F.col("lon")).alias("inside"))
-    return q.groupBy("mmsi").applyInPandasWithState(step, "mmsi long, us long, direction string", "us long, s int, inside boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return q.groupBy("mmsi").applyInPandasWithState(step, "mmsi long, us long, direction string", "us long, s int, inside boolean", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

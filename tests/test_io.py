@@ -90,7 +90,7 @@ def test_streams(spark, sf_dir, tmp_path):
     from fairlead.functions.numbers import in_box
 
     assert spark.table("hours").agg(F.sum("messages")).first()[0] == p.filter(in_box(F.col("lat"), F.col("lon"), C.STUDY_BOX)).count()
-    q = crossing_stream(stream, adapter.BELT, adapter.GAP_S).writeStream.outputMode("append").format("memory").queryName("cross").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q = crossing_stream(stream, adapter.BELT, adapter.GAP_S, None).writeStream.outputMode("append").format("memory").queryName("cross").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     from fairlead.operators.gates import crossings
 
