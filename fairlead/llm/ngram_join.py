@@ -12,12 +12,16 @@ rows of their own, an empty table gives an empty result. Shingles and sets stand
    (prefix bound). Classes that share one of these form clusters.
 3. In each cluster rows are multiplied with the columns of rows not yet reached, and overlaps below the bound that
    both sizes set are discarded. Rows already linked to each other are not compared again, so groups of near copies cost
-   about their size, and no pair of different texts is left out. Clusters over a size limit are tiled by pairs of parts.
+   about their size, and no pair of different texts is left out.
+4. A cluster over TILE postings is dealt into tiles. Each links its own rows; the heads that tiles leave are dealt and
+   linked again. Rows that are then in different components meet in pairs of tiles; those of the largest one do not
+   meet each other again, so a large group of near copies costs about its size here too.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -427,6 +431,59 @@ def _parts(classes: DataFrame, column: str) -> int:
     return max(1, -(-(classes.agg(F.sum(F.length(column))).first()[0] or 0) // (8 * PART)))
 
 
+def _linked(rows: DataFrame, *tile: str) -> DataFrame:
+    """Stars (a: head, b: row) of the rows that link within each tile of a cluster."""
+    return rows.groupBy("cluster", *tile).applyInArrow(lambda t: _cluster_edges(t.select(["owner", "size", "keys"])), "a long, b long")
+
+
+def _tiles(members: DataFrame, tile: int) -> DataFrame:
+    """How many tiles of about `tile` postings each cluster takes."""
+    return members.groupBy("cluster").agg(F.ceil(F.sum(F.length("keys")) / (8 * tile)).cast("int").alias("tiles"))
+
+
+def _dealt(members: DataFrame, tiles: DataFrame, salt: int) -> DataFrame:
+    """Rows of clusters with their tile `i`; clusters not in `tiles` are one tile."""
+    out = members.join(tiles, "cluster", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    return out.withColumn("i", F.pmod(F.xxhash64("owner", F.lit(salt)), F.col("tiles")).cast("int"))
+
+
+def _linked_heads(rows: DataFrame, edges: DataFrame, tile: int) -> DataFrame:
+    """Edges between the heads that tiles have left in large clusters, dealt anew as long as that halves them.
+
+    In a group of near copies a tile leaves few heads, so the rounds cost about the size of the group.
+    """
+    found, last, salt = [], edges, 1
+    before = rows.agg(F.sum(F.length("keys"))).first()[0]
+    while True:
+        rows = materialize(rows.join(last.select(F.col("b").alias("owner")), "owner", "left_anti").select("cluster", "owner", "size", "keys"), "join-heads")
+        after = rows.agg(F.sum(F.length("keys"))).first()[0]
+        tiles = materialize(_tiles(rows, tile).filter("tiles > 1"), "join-large-clusters")
+        dealt = _dealt(rows, tiles, salt)
+        last = materialize(_linked(dealt, "i"), "join-edges")
+        found.append(last)
+        if 2 * after > before or tiles.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rows, before, salt = dealt.filter("tiles > 1").select("cluster", "owner", "size", "keys"), after, salt + 1
+
+
+def _apart(rows: DataFrame, links: DataFrame, tile: int) -> DataFrame:
+    """Tile pairs (lo, hi) of the rows of large clusters in which rows of different components meet.
+
+    A cluster's largest component, in tiles below 0, meets the other rows, in tiles from 0, but not itself. Clusters
+    of one component are done.
+    """
+    rows = rows.join(links.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
+    parts = rows.groupBy("cluster", "root").agg(F.sum(F.length("keys")).alias("w"))
+    parts = parts.groupBy("cluster").agg(F.max(F.struct("w", "root")).alias("most"), F.sum("w").alias("all")).filter(F.col("all") > F.col("most.w"))
+    count = lambda n: F.ceil(n / (8 * tile)).cast("int")
+    parts = materialize(parts.select("cluster", F.col("most.root").alias("main"), count(F.col("most.w")).alias("p"), count(F.col("all") - F.col("most.w")).alias("q")), "join-apart")
+    rows = rows.join(parts, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
+    h = F.xxhash64("owner")
+    rows = rows.withColumn("t", F.when(F.col("in_main"), -1 - F.pmod(h, F.col("p"))).otherwise(F.pmod(h, F.col("q"))).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.when(F.col("in_main"), 0).otherwise(-F.col("p")), F.col("q") - 1)))
+    return rows.select("cluster", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "owner", "size", "keys")
+
+
 def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: DataFrame | None = None) -> DataFrame:
     """(node, root) for the set classes that link with another: root is the least class name of the component."""
     spark = docs.sparkSession
@@ -442,12 +499,16 @@ def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: Dat
     rows = materialize(counted.groupBy("to").applyInArrow(_prefix, _CLASS_SQL), "join-rows")
     near = _spread(rows, "rare", _parts(rows, "rare")).groupBy("to").applyInArrow(_part_edges, "a long, b long")
     clusters = least_labels(near, "join-clusters")
-    members = rows.join(clusters.select(F.col("node").alias("owner"), F.col("root").alias("cluster")), "owner")
-    sized = members.groupBy("cluster").agg(F.ceil(F.sum(F.length("keys")) / (8 * tile)).cast("int").alias("tiles"))
-    members = members.join(sized, "cluster").withColumn("i", F.pmod(F.xxhash64("owner"), F.col("tiles")).cast("int"))
-    members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "owner", "size", "keys")
-    edges = members.groupBy("cluster", "lo", "hi").applyInArrow(lambda t: _cluster_edges(t.select(["owner", "size", "keys"])), "a long, b long")
-    return least_labels(edges, "join-links")
+    members = rows.join(clusters.select(F.col("node").alias("owner"), F.col("root").alias("cluster")), "owner").select("cluster", "owner", "size", "keys")
+    large = materialize(_tiles(members, tile).filter("tiles > 1"), "join-large-clusters")
+    dealt = _dealt(members, large, 0)
+    edges = materialize(_linked(dealt, "i"), "join-edges")
+    if large.isEmpty():
+        return least_labels(edges, "join-links")
+    whole = materialize(dealt.filter("tiles > 1").drop("tiles", "i"), "join-large-rows")
+    edges = edges.unionByName(_linked_heads(whole, edges, tile))
+    apart = _apart(whole, least_labels(edges, "join-parts"), tile)
+    return least_labels(edges.unionByName(_linked(apart, "lo", "hi")), "join-links")
 
 
 def similarity_components(docs: DataFrame, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -72,6 +73,22 @@ def test_join_against_all_pairs(spark, tile, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_large_cluster_of_many_components(spark):
+    """Windows that slide over one text share n-grams along a chain, but only near ones link; tiles of all sizes agree."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(2600)]
+    rows, at = [], 0
+    for i in range(90):
+        rows.append((i, " ".join(words[at : at + 100])))
+        at += r.choice((2, 6, 30, 45))
+    rows += [(100 + i, " ".join([*words[:90], *(f"x{i}y{k}" for k in range(3)), *words[90:100]])) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (1200,):
+        got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in ngram_join.similarity_components(df, tile).collect())
+        assert got == plain_components(rows)
+    assert 5 < len({c for _, _, c in got}) < 90
+
+
 def test_join_of_empty_and_wordless_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similarity_components(none).count() == 0
