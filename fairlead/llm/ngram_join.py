@@ -39,7 +39,7 @@ GATHERED, FREQUENT = 1_200_000, 48
 #: Postings of a block of columns, and keys of a part of the classes that are left; both bound what one task holds.
 BLOCK, PART = 3_000_000, 1_000_000
 #: Postings of a cluster that one task holds; larger clusters are tiled.
-TILE = 3_000_000
+TILE = 500_000
 _KEY_BITS = 48
 _KEY_MASK = np.uint64((1 << _KEY_BITS) - 1)
 _BLANK = np.zeros(256, bool)
