@@ -192,19 +192,29 @@ class ToxicField:
 
     @staticmethod
     def _token_labels(parts: list, y: np.ndarray) -> list[np.ndarray]:
-        """1 for words of toxic documents whose word, or beginning of 4 or 5 bytes, toxic documents hold beyond chance."""
-        toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        """1 for words of toxic documents whose word, or beginning of 4 or 5 bytes, toxic documents hold beyond chance.
+
+        The test is made once for what a document holds at all, and once for what it holds twice or more, which finds
+        beginnings that clean documents have now and then too; the latter are labelled where they stand twice or more.
+        """
+        toxic, clean = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
+        twice = []
         for lo, _, doc, f in parts:
-            for k in (0, 2, 3):
-                pair = np.unique(doc.astype(np.int64) * BUCKETS + f[:, k])
-                at, of = pair % BUCKETS, y[lo + pair // BUCKETS] > 0
-                toxic += np.bincount(at[of], minlength=BUCKETS)
-                clean += np.bincount(at[~of], minlength=BUCKETS)
+            of_part = np.zeros((len(doc), 3), bool)
+            for i, k in enumerate((0, 2, 3)):
+                pair, back, n = np.unique(doc.astype(np.int64) * BUCKETS + f[:, k], return_inverse=True, return_counts=True)
+                of_part[:, i] = n[back] > 1
+                for least in (0, 1):
+                    at, of = pair[n > least] % BUCKETS, y[lo + pair[n > least] // BUCKETS] > 0
+                    toxic[least] += np.bincount(at[of], minlength=BUCKETS)
+                    clean[least] += np.bincount(at[~of], minlength=BUCKETS)
+            twice.append(of_part)
         share = np.concatenate([y[lo:hi] for lo, hi, _, _ in parts]).mean()
         n = np.maximum(toxic + clean, 1)
         gain = toxic * np.log(np.maximum(toxic, 1e-9) / (n * share)) + clean * np.log(np.maximum(clean, 1e-9) / (n * (1 - share)))
-        sure = (toxic / n > share + 0.6 * (1 - share)) & (gain > np.log(np.count_nonzero(toxic) + 2.0) + 1)
-        return [(y[lo + doc] > 0) * (sure[f[:, 0]] | sure[f[:, 2]] | sure[f[:, 3]]).astype(np.float64) for lo, _, doc, f in parts]
+        sure = (toxic / n > share + 0.6 * (1 - share)) & (gain > np.log(np.count_nonzero(toxic, axis=1, keepdims=True) + 2.0) + 1)
+        own = lambda f, t: (sure[0][f[:, (0, 2, 3)]] | sure[1][f[:, (0, 2, 3)]] & t).any(axis=1)
+        return [(y[lo + doc] > 0) * own(f, t).astype(np.float64) for (lo, _, doc, f), t in zip(parts, twice, strict=True)]
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> ToxicField | None:
