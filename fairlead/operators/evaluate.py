@@ -5,6 +5,8 @@ A series has one row a day, so sequential rules take one series a group; the num
 
 from __future__ import annotations
 
+from bisect import insort
+from math import inf
 from statistics import NormalDist
 
 import numpy as np
@@ -17,15 +19,34 @@ from fairlead import config as C
 from fairlead.operators.signals import baseline, code, mad
 
 
+def _middle(v: list[float]) -> float:
+    h = len(v) // 2
+    return v[h] if len(v) % 2 else (v[h - 1] + v[h]) / 2
+
+
+def _mad_of_sorted(v: list[float]) -> float:
+    """MAD of ascending values: the half of them nearest to the median is a run, found by halving."""
+    n, m = len(v), _middle(v)
+    k = (n + 1) // 2
+    lo, hi = 0, n - k
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if m - v[mid] > v[mid + k] - m:
+            lo = mid + 1
+        else:
+            hi = mid
+    d = max(m - v[lo], v[lo + k - 1] - m)
+    return d if n % 2 else (d + min(m - v[lo - 1] if lo else inf, v[lo + k] - m if lo + k < n else inf)) / 2
+
+
 def _expanding_mad(e: np.ndarray, least: int) -> np.ndarray:
     """MAD of the valid deviations strictly before each day, from `least` of them on."""
     out, past = np.full(len(e), np.nan), []
-    for t, x in enumerate(e):
-        if len(past) >= least:
-            v = np.array(past)
-            out[t] = np.median(np.abs(v - np.median(v)))
+    for t, x in enumerate(e.tolist()):
+        if len(past) >= max(least, 1):
+            out[t] = _mad_of_sorted(past)
         if x == x:
-            past.append(x)
+            insort(past, x)
     return out
 
 
@@ -106,7 +127,8 @@ def injected(series: DataFrame, ks: tuple[float, ...] = (C.K,), sizes=C.INJECTED
     out in chunks; a task holds one series and needs no other.
     """
     arrays = series.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("day", "value"))).alias("s"))
-    tasks = arrays.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor(F.size("s") / chunk).cast("int"))))
+    span = F.datediff(F.element_at("s", -1)["day"], F.element_at("s", 1)["day"])
+    tasks = arrays.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor(span / chunk).cast("int"))))
     tasks = tasks.repartition(F.col("series"), F.col("c"))
 
     def run(frames):
@@ -117,32 +139,33 @@ def injected(series: DataFrame, ks: tuple[float, ...] = (C.K,), sizes=C.INJECTED
                 x = np.full(n, np.nan)
                 x[(days - days[0]).astype(int)] = [r["value"] for r in s]
 
-                def base(v: np.ndarray, t: int) -> float:
-                    m = [v[t - 7 * w] for w in range(1, C.WEEKS + 1) if t - 7 * w >= 0 and v[t - 7 * w] == v[t - 7 * w]]
-                    b = float(np.median(m)) if len(m) >= C.MIN_BASE_DAYS else np.nan
+                def base(v: list[float], t: int) -> float:
+                    m = sorted(v[t - 7 * w] for w in range(1, C.WEEKS + 1) if t - 7 * w >= 0 and v[t - 7 * w] == v[t - 7 * w])
+                    b = _middle(m) if len(m) >= C.MIN_BASE_DAYS else np.nan
                     return b if b > 0 else np.nan
 
-                e = np.array([x[t] / base(x, t) - 1 for t in range(n)])
+                own = x.tolist()
+                e = np.array([own[t] / base(own, t) - 1 for t in range(n)])
                 learned = _expanding_mad(e, least)
                 out = []
                 for start in range(c * chunk, min((c + 1) * chunk, n)):
                     if x[start] != x[start] or learned[start] != learned[start]:
                         continue
-                    before = e[:start][~np.isnan(e[:start])]
+                    before = np.sort(e[:start][~np.isnan(e[:start])]).tolist()
                     for length in lengths:
                         for size in sizes:
                             for way in (1, -1):
                                 y = x.copy()
                                 y[start : start + length] = np.round(y[start : start + length] * (1 + way * size))
-                                past, delays = before, dict.fromkeys(ks, -1)
+                                y, past, delays = y.tolist(), before.copy(), dict.fromkeys(ks, -1)
                                 for t in range(start, min(n, start + length + after)):
-                                    limit = C.MAD_SCALE * float(np.median(np.abs(past - np.median(past))))
+                                    limit = C.MAD_SCALE * _mad_of_sorted(past)
                                     now = y[t] / base(y, t) - 1
                                     for k in ks:
                                         if delays[k] < 0 and _class_of(now, k * limit) == way and _class_of(e[t], k * C.MAD_SCALE * learned[t]) != way:
                                             delays[k] = t - start
                                     if now == now:
-                                        past = np.append(past, now)
+                                        insort(past, now)
                                 for k, d in delays.items():
                                     out.append((name, str(days[0] + start), length, size, way, k, d >= 0, d if d >= 0 else None))
                 yield pd.DataFrame(out, columns=["series", "start", "days", "size", "way", "k", "hit", "delay"]).astype({"delay": "Int64"})

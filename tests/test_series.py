@@ -70,6 +70,61 @@ def test_zero_size_events_are_never_hit(spark):
     assert e and not any(r.hit for r in e)
 
 
+def plain_injected(values, ks, sizes, lengths, after=C.AFTER_DAYS, least=C.MIN_LEARN_DAYS):
+    """(start, days, size, way, k, hit, delay) of one series {day: value}, every day in turn by the rule's own words."""
+    first, last = min(values), max(values)
+    span = [first + timedelta(days=i) for i in range((last - first).days + 1)]
+
+    def deviations(v):
+        e = {}
+        for d in span:
+            b = [v[d - timedelta(days=7 * w)] for w in range(1, C.WEEKS + 1) if d - timedelta(days=7 * w) in v]
+            if d in v and len(b) >= C.MIN_BASE_DAYS and np.median(b) > 0:
+                e[d] = v[d] / np.median(b) - 1
+        return e
+
+    def classes(e, days, k):
+        out = {}
+        for d in days:
+            past = np.array([x for t, x in e.items() if t < d])
+            if d in e and len(past) >= least:
+                lim = k * (C.MAD_SCALE * np.median(np.abs(past - np.median(past))))
+                out[d] = 1 if e[d] > lim else -1 if e[d] < -lim else 0
+        return out
+
+    e0, out = deviations(values), []
+    own = {k: classes(e0, span, k) for k in ks}
+    judged = [d for d in span if d in values and sum(t < d for t in e0) >= least]
+    for start in judged:
+        for n in lengths:
+            for size in sizes:
+                for way in (1, -1):
+                    stop = start + timedelta(days=n)
+                    e = deviations({d: float(np.round(v * (1 + way * size))) if start <= d < stop else v for d, v in values.items()})
+                    window = [d for d in span if start <= d < stop + timedelta(days=after)]
+                    for k in ks:
+                        c = classes(e, window, k)
+                        hits = [(d - start).days for d in window if c.get(d) == way and own[k].get(d) != way]
+                        out.append((str(start), n, size, way, k, bool(hits), min(hits, default=None)))
+    return sorted(out, key=str)
+
+
+def test_events_start_on_all_days_of_a_series_with_gaps(spark):
+    r = np.random.default_rng(7)
+    values = [int(v) if keep else None for v, keep in zip(r.integers(5, 25, 150), r.random(150) < 0.6, strict=True)]
+    s = weekly(spark, values, step=1)
+    got = [tuple(x)[1:] for x in evaluate.injected(s, (1.5, 2.0), (0.3,), (2,), chunk=16).collect()]
+    want = plain_injected({x.day: x.value for x in s.collect()}, (1.5, 2.0), (0.3,), (2,))
+    assert sorted(got, key=str) == want and max(w[0] for w in want) > str(date(2026, 6, 1) + timedelta(days=len(s.collect()) + 16))
+
+
+def test_mad_of_sorted_values():
+    r = np.random.default_rng(2)
+    for n in [*range(1, 40), 500]:
+        for v in (r.normal(size=n), r.integers(0, 4, n) / 3):
+            assert evaluate._mad_of_sorted(sorted(v.tolist())) == np.median(np.abs(v - np.median(v)))
+
+
 def test_otsu_parts_two_humps(spark):
     rows = [("g", x) for x in [0.3, 0.32, 0.34] * 20 + [0.9, 0.92, 0.95] * 20]
     t = laden.otsu(spark.createDataFrame(rows, "g string, x double"), "g", "x").first().threshold
