@@ -595,21 +595,15 @@ def false_alarms_monthly(spark, sf):
     return signals.false_alarms(_signals(spark, sf))
 
 
-def _study(spark, sf) -> DataFrame:
-    """One daily series, whole counts of orders, over 1996."""
-    d = A.daily_orders(spark, sf).filter(F.col("day").between(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date")))
-    return d.select(F.lit("orders").alias("series"), "day", "value")
-
-
 @query()
 def injection_detect(spark, sf):
-    return evaluate.detection(evaluate.injected(_study(spark, sf)))
+    return evaluate.detection(evaluate.injected(A.order_series(spark, sf)))
 
 
 def _roc(spark, sf) -> DataFrame:
-    s, ks = _study(spark, sf), (1.0, 2.0, 3.0, 4.0)
-    rates = evaluate.detection(evaluate.injected(s, ks, sizes=(0.5,), lengths=(2,)))
-    return evaluate.roc(rates, evaluate.alarm_rate(evaluate.walk_forward(signals.baseline(s), ks), ("series", "k")))
+    s = A.order_series(spark, sf)
+    rates = evaluate.detection(evaluate.injected(s, C.K_GRID))
+    return evaluate.roc(rates, evaluate.alarm_rate(evaluate.walk_forward(signals.baseline(s), C.K_GRID), ("series", "k")))
 
 
 @query()
@@ -619,7 +613,7 @@ def roc_points(spark, sf):
 
 @query()
 def operating_point(spark, sf):
-    return evaluate.operating_point(_roc(spark, sf), 0.5)
+    return evaluate.operating_point(_roc(spark, sf))
 
 
 _DAYP = "1997-07-15"

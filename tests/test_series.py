@@ -5,6 +5,7 @@ import pytest
 
 from fairlead import config as C
 from fairlead.operators import evaluate, laden, sets, signals
+from fairlead.plans import queries
 
 
 def weekly(spark, values, name="s", start=date(2026, 6, 1), step=7):
@@ -118,6 +119,26 @@ def test_events_start_on_all_days_of_a_series_with_gaps(spark):
     assert sorted(got, key=str) == want and max(w[0] for w in want) > str(date(2026, 6, 1) + timedelta(days=len(s.collect()) + 16))
 
 
+def test_the_study_takes_all_days_and_series_on_the_whole_grid(spark, tmp_path):
+    r = np.random.default_rng(11)
+    of = {"a": (date(1995, 3, 1), 66), "b": (date(1997, 5, 1), 64)}
+    counts = {s: {d + timedelta(days=i): float(v) for i, v in enumerate(r.integers(0, 9, n)) if v} for s, (d, n) in of.items()}
+    rows = [(s, d) for s, v in counts.items() for d, n in v.items() for _ in range(int(n))]
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    rates = {}
+    for s, v in counts.items():
+        events = plain_injected(v, C.K_GRID, C.INJECTED_SIZES, C.INJECTED_DAYS)
+        rates |= {(s, k): [e[5] for e in events if e[4] == k] for k in C.K_GRID}
+    detected = {(x.series, x.days, x["size"], x.way, x.k): (x.n, x.hits) for x in queries.injection_detect(spark, str(tmp_path)).collect()}
+    assert len(detected) == 2 * len(C.INJECTED_SIZES) * len(C.INJECTED_DAYS) * 2
+    assert {s: sum(h for (t, *_), (_, h) in detected.items() if t == s) for s in of} == {s: sum(rates[s, C.K]) for s in of}
+    assert {s: sum(n for (t, *_), (n, _) in detected.items() if t == s) for s in of} == {s: len(rates[s, C.K]) for s in of}
+    points = {(x.series, x.k): x.rate for x in queries.roc_points(spark, str(tmp_path)).collect()}
+    assert points == pytest.approx({at: np.mean(v) for at, v in rates.items()})
+    best = {x.series: x.k for x in queries.operating_point(spark, str(tmp_path)).collect()}
+    assert best == {s: max((k for k in C.K_GRID if np.mean(rates[s, k]) >= C.TARGET_DETECTION), default=None) for s in of}
+
+
 def test_mad_of_sorted_values():
     r = np.random.default_rng(2)
     for n in [*range(1, 40), 500]:
