@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ from fairlead.llm.common import SpanHasher, slices
 #: Fixed value: how the byte-level family splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A space inside or at the end of a run of white space: the splitter's run goes on over its front.
+SPACE_IN_RUN = re.compile(r" (?<=\s )(?:\s|\Z)")
+
 #: Pretokens whose result a worker keeps between batches.
 KEPT_PRETOKENS = 500_000
 #: Positions that one occurrence index covers, so that its memory is bounded whatever the partition holds.
@@ -176,12 +180,13 @@ class Vocabulary:
     def _chunks(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
         """Texts cut before each space, where that cannot change how the splitter reads them; else by the splitter.
 
-        A pretoken holds a space only at its front or in a run of white space, so pieces that each start with a single
-        space split alike alone and in their text. Texts with two spaces in a row or with special strings go whole.
+        A pretoken holds a space only at its front or in a run of white space. A space that begins such a run, or ends
+        it before another character, begins a pretoken anyway; texts with a space elsewhere in a run of any white space
+        or with special strings go whole.
         """
         out, distinct = [], set()
         for t in texts:
-            if "  " in t or (self._special is not None and self._special.search(t) is not None):
+            if SPACE_IN_RUN.search(t) is not None or (self._special is not None and self._special.search(t) is not None):
                 parts = self.split(t)
             else:
                 parts = t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.split(t)

@@ -50,6 +50,21 @@ def test_prefix_counts_are_those_of_each_prefix(vocab, library, text):
     assert np.frombuffer(vocab.encode_batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_runs_of_mixed_white_space_are_the_librarys(vocab, library):
+    runs = ["\u00a0 ", " \u00a0", " \u00a0 \u00a0 ", "\t ", " \t", "\t \t ", "\n \n", " \n \n ", "\n\n ", "  ", "   ", "\u3000 \u2028 ", "\x85 \x1c ", "\x1c \x1c"]
+    texts = [f"{a}{r}{b}" for r in runs for a in ("", "a", "a b") for b in ("", "b", "b c", "\u00a0")]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in vocab.encode_batch(texts)] == want
+    assert vocab.count_batch(texts) == [len(w) for w in want]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("a1.   \u00a0\t\n\u3000\x1c")), max_size=14))
+def test_any_white_space_is_the_librarys(vocab, library, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(vocab.encode_batch([text])[0], "<u4").tolist() == want and vocab.count_batch([text]) == [len(want)]
+
+
 def test_truncation_points(odd):
     got = {(r.doc_id, r.budget): (r.n_chars, r.n_tokens) for r in bpe.truncation_points(odd.filter("doc_id = 5"), queries.vocab_path(), [1, 100]).collect()}
     assert got == {(5, 1): (3, 1), (5, 100): (7, 2)}
