@@ -511,24 +511,32 @@ def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: Dat
     return least_labels(edges.unionByName(_linked(apart, "lo", "hi")), "join-links")
 
 
+def _rooted(docs: DataFrame, sets: DataFrame, tile: int, text: str) -> DataFrame:
+    """owner, root, first: the set classes with the class that names their component and their row of least (doc_id, row_key), null ids last."""
+    links = class_links(docs, tile, text, sets)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+    classes = sets.filter("n_shingles > 0").groupBy("owner").agg(first)
+    return classes.join(links.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
+
+
 def similarity_components(docs: DataFrame, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row_key, n_shingles, owner (set class), component_id: one row per input row."""
     sets = materialize(set_table(docs, doc_id, text), "join-sets")
-    links = class_links(docs, tile, text, sets)
-    classes = sets.filter("n_shingles > 0").groupBy("owner").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(links.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = _rooted(docs, sets, tile, text)
+    least = classes.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
     ids = classes.join(least, "root").select("owner", "component_id")
     out = sets.join(ids, "owner", "left")
     return out.select("doc_id", "row_key", "n_shingles", "owner", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays, that with the least doc_id (then the least text hash); all columns are kept."""
-    found = similarity_components(docs, doc_id=doc_id, text=text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    none = F.lit(None).cast("long")
-    group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(none)
-    kept = found.groupBy("doc_id", group.alias("g"), F.when(F.col("n_shingles") > 0, none).otherwise(F.col("row_key")).alias("e")).agg(F.min("row_key").alias("row_key"))
+    """One document of each component stays, that with the least doc_id (then the least text hash); all columns are kept.
+
+    A component goes by its root class, as ids may be null or repeat. Texts without words link with nothing.
+    """
+    sets = materialize(set_table(docs, doc_id, text), "join-sets")
+    linked = _rooted(docs, sets, TILE, text).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row_key")
+    kept = linked.unionByName(sets.filter("n_shingles = 0").select("doc_id", "row_key"))
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
     rows = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__key", F.xxhash64(F.col(text).cast("string")))
     keys = [F.coalesce("__id", F.lit(0).cast("long")).alias("__a"), F.col("__id").isNull().alias("__b")]

@@ -73,6 +73,17 @@ def test_join_against_all_pairs(spark, tile, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_one_of_each_component_stays_with_null_and_repeated_ids(spark):
+    r = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{i}" for i in r.integers(0, 5000, 80))
+    alone, twice, near, mixed = [text() for _ in range(4)], [text(), text()], text(), text()
+    rows = [(None, t, "alone") for t in alone] + [(5, t, "twice") for t in twice]
+    rows += [(None, near, "near"), (None, near + " x", "near"), (7, mixed, "mixed"), (None, mixed + " y", "mixed"), (7, text(), "other"), (None, "", "blank"), (None, " ", "blank"), (7, "", "blank")]
+    got = [tuple(x) for x in ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()]
+    assert collections.Counter(k for _, _, k in got) == {"alone": 4, "twice": 2, "near": 1, "mixed": 1, "other": 1, "blank": 3}
+    assert (7, mixed, "mixed") in got and {t for _, t, k in got if k in ("alone", "twice")} == {*alone, *twice}
+
+
 def test_large_cluster_of_many_components(spark):
     """Windows that slide over one text share n-grams along a chain, but only near ones link; tiles of all sizes agree."""
     r = random.Random(5)
