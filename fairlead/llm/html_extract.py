@@ -2,9 +2,10 @@
 
 Tokens of a page are its elements, told apart by their path of tags and classes, and its text nodes. Tokens that occur
 alike across the pages of a host (equal occurrence vectors) form an equivalence class; a class that occurs once a page
-on at least half of the host's pages is part of its template. Classes nest by their paths: the template element that
-holds the article is the deepest one that keeps most of the text, an article or main element before others. Its slots,
-what is not itself template text or a part that never belongs to an article, are the page's text.
+on at least half of the host's pages is part of its template. An article or main element of the template that keeps
+most of the text holds the article; without one it is held by the deepest element of the page that leaves only template
+text, links and parts that never belong to an article outside. Its slots, what is not itself template text or such a
+part, are the page's text.
 
 Null html counts as empty and gives an empty text; a page whose host has no usable template is read by the same rules on
 its own; repeated rows are pages of their own; an empty table gives an empty result.
@@ -32,6 +33,7 @@ CLOSES_P = BLOCK - {"br", "option", "body", "html", "head", "title", "tbody", "t
 APART = frozenset("nav footer aside form menu button select dialog head title object".split())
 APART_WORDS = frozenset("nav navbar navigation menu sidebar side ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal comment comments reply replies respond disqus footer header masthead share sharing social related breadcrumb breadcrumbs newsletter subscribe signup login search pagination pager toolbar widget".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -162,7 +164,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """host, main (path of the template element that holds the article), fixed (hashes of template text). One row a host.
+    """host, main (path of the article or main element that holds the article), fixed (tokens of template text). One row a host.
 
     Tokens are counted over all pages of a host with a map-side sum. Only tokens on at least `support` of the pages are
     kept before a host's tokens meet, so a host's list is bounded by the tokens of about two pages.
@@ -172,23 +174,39 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3) -> D
     hosts = counted.filter("kind > 0").groupBy("host").agg(F.max("pages").alias("of"), F.max("chars").alias("all_chars"))
     often = counted.join(hosts, "host").filter((F.col("pages") >= support * F.col("of")) & (F.col("once") == F.col("pages")))
     classes = often.withColumn("alike", F.count("*").over(W.partitionBy("host", "vector", "pages")))
-    holds = (F.col("kind") > 0) & (2 * F.col("chars") >= F.col("all_chars")) & (F.col("chars") > 0)
+    holds = (F.col("kind") == 2) & (2 * F.col("chars") >= F.col("all_chars")) & (F.col("chars") > 0)
     fixed = (F.col("kind") == 0) & (F.col("of") >= least_pages) & (F.col("alike") > 1)
     return classes.groupBy("host").agg(
-        F.max_by("token", F.when(holds, F.struct("kind", "depth", "pages", "token"))).alias("main"),
+        F.max_by("token", F.when(holds, F.struct("depth", "pages", "token"))).alias("main"),
         F.collect_list(F.when(fixed, F.col("token"))).alias("fixed"),
     )
 
 
+def _holder(elements: list[Element], texts: list[tuple[str, tuple[Element, ...]]]) -> list[Element]:
+    """The page's own article or main element if it holds half of the texts, else the deepest element that holds all."""
+    first = next((e for e in elements if e.name in MAIN and not e.apart), None)
+    if first is not None and 2 * sum(len(t) for t, inside in texts if first in inside) >= sum(len(t) for t, _ in texts):
+        return [first]
+    held = list(texts[0][1]) if texts else []
+    for _, inside in texts:
+        n = 0
+        while n < min(len(held), len(inside)) and held[n] is inside[n]:
+            n += 1
+        del held[n:]
+    return held[-1:]
+
+
 def extract(page: str | None, main: int | None = None, fixed: frozenset[int] = frozenset()) -> str:
     """The text in the slots of a page's main element."""
     elements, pieces = parse(page or "")
+    template = [bool(fixed) and bool(inside) and not inside[-1].in_main and _text_hash(text) in fixed for text, inside, _ in pieces]
     chosen = [e for e in elements if e.path == main and not e.apart] if main is not None else []
     if not chosen:
-        chosen = [e for e in elements if e.name in MAIN and not e.apart][:1]
+        own = [(text, inside) for (text, inside, _), t in zip(pieces, template, strict=True) if not (t or text.isspace() or inside and inside[-1].apart)]
+        chosen = _holder(elements, [(text, inside) for text, inside in own if not (inside and inside[-1].links) or any(e.name in HEADINGS for e in inside)])
     top = {e.order for e in chosen}
     out: list[str] = []
-    for text, inside, boundary in pieces:
+    for (text, inside, boundary), fix in zip(pieces, template, strict=True):
         if inside and inside[-1].apart:
             keep = False
         elif top:
@@ -197,7 +215,7 @@ def extract(page: str | None, main: int | None = None, fixed: frozenset[int] = f
             keep = True
         if boundary and out and out[-1] != " ":
             out.append(" ")
-        if keep and not (fixed and inside and not inside[-1].in_main and _text_hash(text) in fixed):
+        if keep and not fix:
             out.append(entities.unescape(text))
     return " ".join("".join(out).split())
 

@@ -184,6 +184,19 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def _texts(spark, bodies, host="a"):
+    df = spark.createDataFrame([(i, f"http://{host}.example/{i}", page(b)) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html_extract.extract_pages(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_of_divs_keeps_heading_and_all_sections(spark):
+    long = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    post = lambda i: f'<div class="top"><a href="/">home page of this place</a></div><div class="post"><h1>Title {i}</h1><div class="intro">{long(i, 30)}</div><div class="entry-content"><p>{long(i + 50, 70)}</p></div></div><p>Printed on recycled pixels</p>'
+    want = [f"Title {i} {long(i, 30)} {long(i + 50, 70)}" for i in range(6)]
+    assert _texts(spark, [post(i) for i in range(6)]) == want
+    assert _texts(spark, [f'<div class="post"><h1>One</h1><p>{long(1, 90)}</p><blockquote>{long(2, 20)}</blockquote></div>']) == [f"One {long(1, 90)} {long(2, 20)}"]
+
+
 def _accuracy(scored, labels, label, hold):
     y = {r.doc_id: r[label] for r in labels.collect()}
     s = [(r.score, y[r.doc_id]) for r in scored.collect() if r.doc_id in y and hold(zlib.crc32(str(r.doc_id).encode()))]
