@@ -5,7 +5,8 @@ alike across the pages of a host (equal occurrence vectors) form an equivalence
 on at least half of the host's pages is part of its template. An article or main element of the template that keeps
 most of the text holds the article; without one it is held by the deepest element of the page that leaves only template
 text, links and parts that never belong to an article outside. Its slots, what is not itself template text or such a
-part, are the page's text.
+part, are the page's text. Inside article and main, text is told by whole blocks, and a page most of whose article would
+be template text (a copy of others) keeps it.
 
 Null html counts as empty and gives an empty text; a page whose host has no usable template is read by the same rules on
 its own; repeated rows are pages of their own; an empty table gives an empty result.
@@ -34,6 +35,8 @@ APART = frozenset("nav footer aside form menu button select dialog head title ob
 APART_WORDS = frozenset("nav navbar navigation menu sidebar side ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal comment comments reply replies respond disqus footer header masthead share sharing social related breadcrumb breadcrumbs newsletter subscribe signup login search pagination pager toolbar widget".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Keeps tokens of text inside article or main apart from the same text elsewhere.
+IN_MAIN = 1 << 62
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -125,11 +128,34 @@ def _text_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(" ".join(text.split())) >> 1
 
 
+def text_tokens(pieces: list[tuple[str, tuple[Element, ...], bool]]) -> list[int | None]:
+    """The token of each piece: its text; inside article or main the text of the whole block, without apart parts; None for spaces."""
+    out: list[int | None] = []
+    block: list[int] = []
+
+    def close() -> None:
+        text = "".join(pieces[i][0] for i in block)
+        token = _text_hash(text) ^ IN_MAIN if text.strip() else None
+        for i in block:
+            out[i] = token
+        block.clear()
+
+    for i, (text, inside, boundary) in enumerate(pieces):
+        if boundary:
+            close()
+        in_main = bool(inside) and inside[-1].in_main
+        if in_main and not inside[-1].apart:
+            block.append(i)
+        out.append(None if in_main or text.isspace() else _text_hash(text))
+    close()
+    return out
+
+
 _TOKENS = "host string, token long, kind int, depth int, vector long, once int, chars long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row per page and token: host, token, kind (0 text, 1 element, 2 article or main), depth, vector, once, chars.
+    """One row per page and token: host, token, kind (-1 text inside article or main, 0 other text, 1 element, 2 article or main), depth, vector, once, chars.
 
     `vector` hashes (page, occurrences), so the exclusive or of a token's rows stands for its occurrence vector.
     """
@@ -141,14 +167,22 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 host = host_of(url)
                 elements, pieces = parse(page or "")
                 seen: dict[int, list[int]] = {}
-                for text, inside, _ in pieces:
+                tokens, last = text_tokens(pieces), None
+                for (text, inside, boundary), token in zip(pieces, tokens, strict=True):
+                    if boundary:
+                        last = None
                     if text.isspace():
                         continue
                     size = 0 if not inside or inside[-1].links or inside[-1].apart else len(text)
                     for e in inside:
                         e.text += size
-                    if not (inside and inside[-1].in_main):
-                        seen.setdefault(_text_hash(text), [0, 0, 0, 0])[0] += 1
+                    if token is None:
+                        continue
+                    in_main = inside and inside[-1].in_main
+                    if not (in_main and token == last):
+                        seen.setdefault(token, [0, -1 if in_main else 0, 0, 0])[0] += 1
+                    if in_main:
+                        last = token
                 for e in elements:
                     if not e.apart:
                         t = seen.setdefault(e.path, [0, 1 + (e.name in MAIN), e.depth, 0])
@@ -175,7 +209,7 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3) -> D
     often = counted.join(hosts, "host").filter((F.col("pages") >= support * F.col("of")) & (F.col("once") == F.col("pages")))
     classes = often.withColumn("alike", F.count("*").over(W.partitionBy("host", "vector", "pages")))
     holds = (F.col("kind") == 2) & (2 * F.col("chars") >= F.col("all_chars")) & (F.col("chars") > 0)
-    fixed = (F.col("kind") == 0) & (F.col("of") >= least_pages) & (F.col("alike") > 1)
+    fixed = (F.col("kind") <= 0) & (F.when(F.col("kind") == 0, F.col("of")).otherwise(F.col("pages")) >= least_pages) & (F.col("alike") > 1)
     return classes.groupBy("host").agg(
         F.max_by("token", F.when(holds, F.struct("depth", "pages", "token"))).alias("main"),
         F.collect_list(F.when(fixed, F.col("token"))).alias("fixed"),
@@ -199,7 +233,10 @@ def _holder(elements: list[Element], texts: list[tuple[str, tuple[Element, ...]]
 def extract(page: str | None, main: int | None = None, fixed: frozenset[int] = frozenset()) -> str:
     """The text in the slots of a page's main element."""
     elements, pieces = parse(page or "")
-    template = [bool(fixed) and bool(inside) and not inside[-1].in_main and _text_hash(text) in fixed for text, inside, _ in pieces]
+    tokens = text_tokens(pieces) if fixed else [None] * len(pieces)
+    in_main = [(len(text), t in fixed) for (text, inside, _), t in zip(pieces, tokens, strict=True) if t is not None and inside and inside[-1].in_main]
+    copied = 2 * sum(n for n, f in in_main if f) > sum(n for n, _ in in_main)
+    template = [t in fixed and bool(inside) and not (copied and inside[-1].in_main) for (_, inside, _), t in zip(pieces, tokens, strict=True)]
     chosen = [e for e in elements if e.path == main and not e.apart] if main is not None else []
     if not chosen:
         own = [(text, inside) for (text, inside, _), t in zip(pieces, template, strict=True) if not (t or text.isspace() or inside and inside[-1].apart)]

@@ -197,6 +197,16 @@ def test_html_of_divs_keeps_heading_and_all_sections(spark):
     assert _texts(spark, [f'<div class="post"><h1>One</h1><p>{long(1, 90)}</p><blockquote>{long(2, 20)}</blockquote></div>']) == [f"One {long(1, 90)} {long(2, 20)}"]
 
 
+def test_html_template_text_inside_an_article_goes(spark):
+    box = '<div class="k7"><p>Get <b>our</b> letter each week.</p></div>'
+    bodies = [f"<article><h1>Title {i}</h1><p>Text <i>our</i> {i} of its own, long enough to be most of it.</p>{box if i % 4 else ''}<p>End {i}</p></article>" for i in range(8)]
+    assert _texts(spark, bodies) == [f"Title {i} Text our {i} of its own, long enough to be most of it. End {i}" for i in range(8)]
+    headed = [f"<article><h1>{'Shared' if i else 'Own'}</h1><p>Text {i} of its own, long enough to be most of it.</p></article>" for i in range(3)]
+    assert _texts(spark, headed) == [f"{'Shared' if i else 'Own'} Text {i} of its own, long enough to be most of it." for i in range(3)]
+    copies = ["<article><h1>Same</h1><p>A page that is there twice.</p></article>"] * 2 + ["<article><h1>Other</h1><p>And one more.</p></article>"]
+    assert _texts(spark, copies) == ["Same A page that is there twice."] * 2 + ["Other And one more."]
+
+
 def _accuracy(scored, labels, label, hold):
     y = {r.doc_id: r[label] for r in labels.collect()}
     s = [(r.score, y[r.doc_id]) for r in scored.collect() if r.doc_id in y and hold(zlib.crc32(str(r.doc_id).encode()))]
