@@ -88,9 +88,35 @@ def test_exact_dedup_on_odd_rows(odd):
 
 def test_directory_doubles_for_overfull_buckets(spark):
     keys = spark.range(4000).select(F.xxhash64("id").alias("h"))
-    d = exact_dedup.directory(keys, 100)
-    per = keys.join(d, exact_dedup._slot(F.col("h")) == F.col("slot")).groupBy("bucket", "depth").agg(F.count("*").alias("n")).collect()
-    assert sum(r.n for r in per) == 4000 and max(r.n for r in per) <= 100 and max(r.depth for r in per) > 4
+    buckets = exact_dedup.directory(keys, 3).collect()
+    assert sum(b["keys"] for b in buckets) == 4000 and max(b["keys"] for b in buckets) <= 3 and max(b.depth for b in buckets) > 2 * exact_dedup.STEP - 6
+    hashes = [r.h & (2**64 - 1) for r in keys.collect()]
+    held = [sum(h >> (64 - b.depth) == b.prefix for h in hashes) for b in buckets[:40]]
+    assert held == [b["keys"] for b in buckets[:40]]
+    assert [tuple(b) for b in exact_dedup.directory(keys, 4000).collect()] == [(0, 0, 4000)]
+
+
+@pytest.mark.parametrize("hot_rows", [1000, 2])
+def test_texts_that_share_a_key_are_told_apart_by_their_bytes(spark, hot_rows):
+    """Every key is the text's length, so most chains hold several texts; the directory has pages of two keys."""
+    r = np.random.default_rng(1)
+    rows = [(int(i), "".join(r.choice(list("aB"), r.integers(0, 5))), int(r.integers(0, 9))) for i in r.integers(0, 40, 300)] + [(None, "aB", 1), (None, "Ab", 2), (None, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __h int")
+    by_length = lambda c: F.xxhash64(F.length(c))
+    groups = {}
+    for d, t, _ in rows:
+        groups.setdefault((t or "").lower(), []).append(d)
+    want = []
+    for t, ids in groups.items():
+        keep, seen = max((i for i in ids if i is not None), default=None), False
+        for i in ids:
+            want.append((str(i), str(keep), len(ids), i == keep and not seen, hashlib.sha256(t.encode()).hexdigest()))
+            seen = seen or i == keep
+    got = exact_dedup.exact_dedup(df, key=by_length, page_keys=2, hot_rows=hot_rows).collect()
+    assert sorted((str(x.doc_id), str(x.keep_id), x.group_size, x.kept, x.text_sha256) for x in got) == sorted(want)
+    kept = exact_dedup.keep_one(df, key=by_length, page_keys=2, hot_rows=hot_rows)
+    assert kept.columns == df.columns and sorted(((x.text or "").lower(), str(x.doc_id)) for x in kept.collect()) == sorted((t, str(max((i for i in ids if i is not None), default=None))) for t, ids in groups.items())
+    assert {tuple(x) for x in kept.collect()} <= {tuple(x) for x in rows}
 
 
 def test_mixing_on_odd_rows(odd):
