@@ -233,6 +233,86 @@ def test_html_template_text_inside_an_article_goes(spark):
     assert _texts(spark, copies) == ["Same A page that is there twice."] * 2 + ["Other And one more."]
 
 
+def test_html_class_names_have_no_meaning_inside_an_article(spark):
+    bodies = [f'<article><h2 class="share-price header">Market header {i}</h2><section class="related-work"><p>Prior art of {i}, told at some length.</p></section><div class="notice banner">Read {i}</div><p class="side">End {i}</p></article>' for i in range(5)]
+    assert _texts(spark, bodies) == [f"Market header {i} Prior art of {i}, told at some length. Read {i} End {i}" for i in range(5)]
+
+
+def test_html_comments_as_inner_articles_and_aria_parts_go(spark):
+    body = '<article><h1>T {0}</h1><p>Body {0} of the text, longer than what follows it.</p><div role="navigation">on</div><article><p>me {0}</p></article><article>you {0}</article></article>'
+    assert _texts(spark, [body.format(i) for i in range(4)]) == [f"T {i} Body {i} of the text, longer than what follows it." for i in range(4)]
+    assert _texts(spark, ["<article><article><h1>T</h1><p>All of it</p></article></article>"]) == ["T All of it"]
+
+
+def _neutral(i):
+    """No article, no main, no telling class name; a notice in the text, a varying advert, a repeated box after it."""
+    own = " ".join(f"w{i}x{k}" for k in range(40))
+    return f'<div class="q1"><p>ad {i} {i}</p></div><div class="q2"><h1>Head {i}</h1><div class="q3"><p>{own}</p><div class="q4"><p>Get our letter</p></div><p>Last {i}</p></div></div><div class="q5"><p>Printed on</p><p>recycled pixels</p></div>', f"Head {i} {own} Last {i}"
+
+
+def test_html_template_alone_finds_the_text(spark):
+    """Without the template the same pages read otherwise; rows that repeat change nothing; columns may clash."""
+    pairs = [_neutral(i) for i in range(9)]
+    assert _texts(spark, [b for b, _ in pairs]) == [t for _, t in pairs]
+    assert all(html_extract.extract(page(b)) != t for b, t in pairs)
+    rows = [(i, "http://a.example/x", page(b), "k", 5) for i, (b, _) in enumerate(pairs) for _ in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, tokens int")
+    assert sorted((r.page_id, r.text) for r in html_extract.extract_pages(df).collect()) == sorted((i, t) for i, (_, t) in enumerate(pairs) for _ in range(2))
+
+
+def test_html_of_a_very_long_page(spark):
+    own = [" ".join(f"w{i}x{k}" for k in range(150_000)) for i in range(3)]
+    assert _texts(spark, [f"<article><p>{t}</p></article>" for t in own]) == own
+
+
+def test_classes_and_template_are_those_of_a_plain_search(spark):
+    """Random pages of a few hosts: classes by whole occurrence vectors, validity by looking at every page."""
+    r = np.random.default_rng(6)
+    pages_ = []
+    for i in range(36):
+        bits = ["<div class=a1><p>Top line</p></div>" if r.random() < 0.7 else "", f"<div class=b2><h1>H {i}</h1>" + "".join(f"<p>t {i} {k}</p>" for k in range(r.integers(1, 4))) + "</div>", "<ul class=c3><li>One<li>Two</ul>" if r.random() < 0.8 else ""]
+        if r.random() < 0.3:
+            bits.reverse()
+        pages_.append((i, f"h{i % 3}", "<body>" + "".join(bits) + ("<p>Foot</p><i>note</i>" if r.random() < 0.9 else "") + "</body>"))
+    df = spark.createDataFrame([(i, f"http://{h}/", h, b) for i, h, b in pages_], "page_id long, url string, host string, html string")
+    got = {x.host: x for x in html_extract.classes(df).collect()}
+    final = {x.host: x for x in html_extract.templates(df).collect()}
+    for host in ("h0", "h1", "h2"):
+        own = []
+        for _, h, b in pages_:
+            if h == host:
+                elements, blocks = html_extract.parse(b)
+                own.append([(t, k) for _, t, k in sorted([(e.order, e.path, e.name) for e in elements] + [(x.order, x.token, "") for x in blocks])])
+        vectors = {}
+        for t in {t for p in own for t, _ in p}:
+            v = tuple(sum(x == t for x, _ in p) for p in own)
+            if max(v) == 1 and sum(v) >= max(3, 0.5 * len(own)):
+                vectors.setdefault(v, set()).add(t)
+        plain = {frozenset(c) for c in vectors.values() if len(c) > 1}
+        found = {}
+        for t in got[host].tokens:
+            found.setdefault(t["class"], set()).add(t.token)
+        assert {frozenset(c) for c in found.values()} == plain
+        root = found[0]
+        assert max(len(c) for c in plain) >= 2 and sum(any(x in root for x, _ in p) for p in own) == max(sum(any(x in c for x, _ in p) for p in own) for c in plain)
+        valid = set()
+        for number, c in found.items():
+            order = [t.token for t in got[host].tokens if t["class"] == number]
+            slots = {}
+            for t in order:
+                places = set()
+                for p in own:
+                    line = [x for x, _ in p]
+                    if t in line:
+                        i = line.index(t)
+                        places.add((-1 if number == 0 else sum(x in root for x in line[:i]), any(line.index(b) > i for b in order[: order.index(t)])))
+                if len(places) == 1 and not next(iter(places))[1]:
+                    slots.setdefault(next(iter(places))[0], set()).add(t)
+            valid |= {t for s in slots.values() if len(s) > 1 for t in s}
+        texts = {t for p in own for t, k in p if not k}
+        assert set(final[host].tokens) == valid & texts
+
+
 def _accuracy(scored, labels, label, hold):
     y = {r.doc_id: r[label] for r in labels.collect()}
     s = [(r.score, y[r.doc_id]) for r in scored.collect() if r.doc_id in y and hold(zlib.crc32(str(r.doc_id).encode()))]
