@@ -62,10 +62,11 @@ def _visit(p: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, parts array<PART>) to conv_id, formatted, mask, attachments, attachment_tokens.
+    """(conv_id, turn, role, parts array<PART>) to conv_id, formatted, mask, turn_mask, attachments, attachment_tokens.
 
     mask: code-point spans (start, length) of the assistant bodies in `formatted`. Offsets are running sums over the
-    turns of a conversation, so a long conversation costs in proportion to its length.
+    turns of a conversation, so a long conversation costs in proportion to its length. turn_mask: one entry a turn, the
+    same spans counted from the start of the turn, NULL for turns without loss.
     """
     parts = F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
@@ -76,23 +77,33 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     inside = W.partitionBy("conv_id").orderBy(*order)
     t = t.withColumn("nth", F.row_number().over(inside)).withColumn("at", F.sum(own).over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.length("body") - len(END))
     seen = F.transform("held", lambda p: F.struct(F.col("turn").alias("turn"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    piece = F.struct("nth", F.concat("head", "body", F.lit(END)).alias("s"), F.when(F.col("role") == LOSS_ROLE, F.struct(F.col("at").alias("start"), F.length("body").cast("long").alias("length"))).alias("m"), seen.alias("a"))
+    piece = F.struct("nth", F.concat("head", "body", F.lit(END)).alias("s"), F.when(F.col("role") == LOSS_ROLE, F.struct(F.col("at").alias("start"), F.length("body").cast("long").alias("length"), F.length("head").cast("long").alias("inner"))).alias("m"), seen.alias("a"))
     c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     return c.select(
         "conv_id",
         F.array_join(F.col("p.s"), "").alias("formatted"),
-        F.filter(F.col("p.m"), lambda m: m.isNotNull()).alias("mask"),
+        F.transform(F.filter(F.col("p.m"), lambda m: m.isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))).alias("mask"),
+        F.transform(F.col("p.m"), lambda m: F.when(m.isNotNull(), F.struct(m["inner"].alias("start"), m["length"].alias("length")))).alias("turn_mask"),
         F.flatten(F.col("p.a")).alias("attachments"),
     ).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The turns of formatted conversations: adds turns array<struct<role,text>> and loss_text (all text under the mask)."""
+    """The turns of formatted conversations: adds turns array<struct<role,text>> and loss_text (all text under the mask).
+
+    Each turn is cut out once and its role, text and masked text are taken from it, so a conversation is read in
+    proportion to its length.
+    """
     pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda s: s != "")
-    body = lambda s: F.substr(s, F.lit(len(START) + 1))
-    turns = F.transform(pieces, lambda s: F.struct(unescape_role(F.substring_index(body(s), BREAK, 1)).alias("role"), unescape(F.substr(body(s), F.instr(body(s), F.lit(BREAK)) + 1)).alias("text")))
-    masked = F.transform("mask", lambda m: unescape(F.substr("formatted", (m["start"] + 1).cast("int"), m["length"].cast("int"))))
-    return formatted.withColumn("turns", turns).withColumn("loss_text", F.array_join(masked, ""))
+
+    def turn(s: Column, m: Column) -> Column:
+        body = F.substr(s, F.lit(len(START) + 1))
+        masked = F.when(m.isNotNull(), unescape(F.substr(s, (m["start"] + 1).cast("int"), m["length"].cast("int"))))
+        return F.struct(unescape_role(F.substring_index(body, BREAK, 1)).alias("role"), unescape(F.substr(body, F.instr(body, F.lit(BREAK)) + 1)).alias("text"), masked.alias("masked"))
+
+    read = formatted.withColumn("__read", F.zip_with(pieces, "turn_mask", turn))
+    turns = F.transform("__read", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
+    return read.withColumn("turns", turns).withColumn("loss_text", F.array_join(F.col("__read.masked"), "")).drop("__read")
 
 
 def _sql_escape(text: str) -> str:

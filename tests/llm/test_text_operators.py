@@ -159,6 +159,21 @@ def test_chat_round_trip_with_parts(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_reads_long_conversations_in_proportion_and_keeps_clashing_names_out(spark):
+    """Four times the turns take well under the sixteen times of a reading from the start for each turn."""
+    import time
+
+    def took(turns):
+        df = spark.range(turns).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.array(chat.text_part(F.repeat(F.lit("wörd "), 20))).alias("parts"), F.lit("x").alias("formatted"), F.lit(3).alias("nth"))
+        start = time.perf_counter()
+        r = chat.read_back(chat.format_conversations(df)).select(F.size("turns").alias("n"), F.length("loss_text").alias("k")).first()
+        assert (r.n, r.k) == (turns, turns // 2 * 100)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(24_000) < 9 * took(6000) + 1
+
+
 def test_fingerprints_against_the_texts(spark, odd):
     got = fingerprint.fingerprint_edits(odd).collect()
     order = sorted(((i, t or "") for i, t in EDGE), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
