@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import WORD_PATTERN, text_or_empty
+from fairlead.llm.common import WORD_PATTERN, materialize, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Expected copies are held as whole multiples of 2**-UNIT_BITS, so prefix sums are exact for 2**38 documents a source.
 UNIT_BITS = 24
-#: Parts of one size class of a source, so that a class of many alike documents is not ranked in one task.
-SALTS = 32
+#: Documents of a table for each salt, and the least number of salts: a size class of a source is ranked in as many parts,
+#: so that a class of many alike documents, however many, is not ranked in one task.
+SALT_ROWS, LEAST_SALTS = 20_000, 32
 
 
 def _word_count(text):
@@ -46,26 +47,42 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     )
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, salts: int = SALTS, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def _key(source):
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(source).cast("string").alias("source"), _word_count(text_or_empty(text)).alias("size"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+
+
+def _dealt(sized: DataFrame, salts: int) -> DataFrame:
+    bits = F.length(F.bin("size"))
+    rows = sized.withColumn("__class", (bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 5, 0)) & 15")).cast("int"))
+    rows = rows.withColumn("__salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long"), F.lit(salts)))
+    return rows.withColumn("__key", _key(F.col("source")))
+
+
+def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, salt_rows: int = SALT_ROWS, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (and source, and the `carry` columns): one row per input row.
 
+    Words are counted once, into a table of (id, source, size); with `carry` once more for the rows that go along.
     Within a source documents stand in order of size class, salt, size and doc_id; the prefix sum of expected copies
     is rank times rate, so it needs one count a (source, class, salt) and a rank inside it, never a whole source in one
     task. A document is taken once for each integer that the prefix sum plus the source's offset crosses at it.
     """
-    size = _word_count(text_or_empty(text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(source).cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
-    bits = F.length(F.bin("size"))
-    rows = rows.withColumn("__class", (bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 5, 0)) & 15")).cast("int"))
-    rows = rows.withColumn("__salt", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("null"))), 1, 2), 16, 10).cast("int"), F.lit(salts)))
-    rows = rows.withColumn("__key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    light = rows.select("source", "__key", "__class", "__salt", "size")
-    targets = source_targets(light.select("source", "size"), share, most).withColumn("__key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    parts = light.groupBy("__key", "__class", "__salt").agg(F.count("*").alias("__n"))
-    ahead = W.partitionBy("__key").orderBy("__class", "__salt").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0).cast("long"))).join(targets, "__key")
+    light = materialize(_sized(docs, doc_id, text, source), "mix-sizes")
+    salts = max(LEAST_SALTS, -(-light.count() // salt_rows))
+    targets = source_targets(light.select("source", "size"), share, most).withColumn("__key", _key(F.col("source"))).drop("source")
+    parts = _dealt(light, salts).groupBy("__key", "__class", "__salt").agg(F.count("*").alias("__n"))
+    classes = parts.groupBy("__key", "__class").agg(F.sum("__n").alias("__m"))
+    upto = W.partitionBy("__key").orderBy("__class").rowsBetween(W.unboundedPreceding, -1)
+    classes = classes.withColumn("__lower", F.coalesce(F.sum("__m").over(upto), F.lit(0).cast("long"))).drop("__m")
+    ahead = W.partitionBy("__key", "__class").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0).cast("long"))).drop("__n")
+    parts = parts.join(classes, ["__key", "__class"]).withColumn("__before", F.col("__before") + F.col("__lower")).drop("__lower").join(targets, "__key")
     inside = W.partitionBy("__key", "__class", "__salt").orderBy("size", F.col("__id").asc_nulls_last())
-    ranked = rows.withColumn("__rank", F.row_number().over(inside).cast("long")).join(parts.drop("__n"), ["__key", "__class", "__salt"])
+    rows = _dealt(_sized(docs, doc_id, text, source, carry) if carry else light, salts)
+    ranked = rows.withColumn("__rank", F.row_number().over(inside).cast("long")).join(parts, ["__key", "__class", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before"))
     copies = F.expr(f"shiftright(start + __rank * rate, {UNIT_BITS}) - shiftright(start + (__rank - 1) * rate, {UNIT_BITS})")
     return ranked.select(F.col("__id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)])
@@ -83,7 +100,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 k AS (SELECT *, length(bin(size)) * 16 + ((size >> greatest(length(bin(size)) - 5, 0)) & 15) AS class,
-             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 2) AS INT) % {SALTS} AS salt FROM d),
+             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % (SELECT greatest({LEAST_SALTS}, (count(*) + {SALT_ROWS - 1}) // {SALT_ROWS}) FROM d) AS salt FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, salt, size, doc_id NULLS LAST) AS rk FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,

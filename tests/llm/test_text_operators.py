@@ -136,6 +136,16 @@ def test_mixing_comes_near_its_targets(spark):
     assert len(s) == 4 and all(abs(r.taken - r.target) <= 0.01 * r.target for r in s)
 
 
+def test_mixing_of_one_size_and_source_is_dealt_into_parts_that_follow_the_count(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    for salt_rows, least in ((20_000, 30), (20, 130)):
+        got = mixing.mix_sources(d, salt_rows=salt_rows)
+        r = got.agg(F.sum("taken").alias("taken"), F.max("copies").alias("most"), F.count("*").alias("n")).first()
+        assert abs(r.taken - 13_500) <= 3 and r.most == 2 and r.n == 3000
+        light = mixing._sized(d, "doc_id", "text", "source")
+        assert mixing._dealt(light, max(mixing.LEAST_SALTS, 3000 // salt_rows)).select("__salt").distinct().count() >= least
+
+
 def test_chat_round_trip_with_parts(spark):
     p = lambda kind, text=None, ref=None, w=None, h=None, s=None, n=None: (kind, text, ref, w, h, s, n)
     odd = "a\\b <|im_end|>\n <\\| </s>[INST]<<SYS>>\\n"
