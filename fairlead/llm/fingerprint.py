@@ -5,8 +5,11 @@ runs of one symbol become one symbol; deterministic coin tossing (the lowest bit
 before it, with that bit) shortens the symbols to labels below 8 in three rounds; a phrase starts at each local maximum
 of the labels. A phrase's name is a hash of its symbols. Where phrases start depends on a few neighbours only, so equal
 substrings share their inner names at whatever offset they stand. The fingerprint is the name of the whole text and the
-SKETCH least names of its phrases of level LEVEL, of about 30 bytes each. Likeness is the share of phrases in common
-(twice the common ones over both), estimated from the least names; 1 for equal texts.
+SKETCH least names of its phrases of level LEVEL, of about 30 bytes each; a text with fewer than FEW of them also gives
+the SKETCH least names of level FINE, of about 3 bytes each. Likeness is the share of phrases in common (twice the
+common ones over both), estimated from the least names of the coarse level, or of the fine one where both texts give it;
+1 for equal texts. With up to SKETCH phrases in both texts together it is exact, above that its standard error is at most
+0.5 / sqrt(SKETCH) of the Jaccard share.
 
 Null text counts as empty; empty texts are alike to each other (1) and to nothing else (0). Rows stand in descending
 doc_id, null last, equal doc_ids by text; the row after the last is the first. An empty table gives an empty result.
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import BYTE_VALUES, mix64, shuffle_partitions
 
-LEVEL, SKETCH = 3, 32
+LEVEL, FINE, SKETCH, FEW = 3, 1, 64, 16
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,41 +92,53 @@ def _level(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return up, np.concatenate([[0], np.cumsum(counts)])
 
 
-def fingerprints(texts: list[bytes], level: int = LEVEL, sketch: int = SKETCH) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(name of each whole text, its least phrase names as 32-bit integers, ascending)."""
+Names = tuple[np.ndarray, np.ndarray | None]
+
+
+def _least(symbols: np.ndarray, at: np.ndarray, sketch: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the least distinct names of each text as ascending 32-bit integers, how many it has)."""
+    low = (symbols >> np.uint64(32)).astype(np.uint32)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | low)
+    cut = np.searchsorted(key, np.arange(len(at), dtype=np.uint64) << np.uint64(32))
+    low = key.astype(np.uint32)
+    return [low[a : min(b, a + sketch)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.diff(cut)
+
+
+def fingerprints(texts: list[bytes], level: int = LEVEL, sketch: int = SKETCH) -> tuple[np.ndarray, list[Names]]:
+    """(name of each whole text, its least names of the coarse level and, for a text of few phrases, of the fine one)."""
     symbols = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     root, known, depth = np.zeros(len(texts), np.uint64), np.diff(at) == 0, 0
-    least: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+    none = np.zeros(0, np.uint32)
+    coarse, fine, n = [none] * len(texts), [none] * len(texts), np.zeros(len(texts), np.int64)
     while len(symbols) and (depth < level or not known.all()):
         symbols, at = _level(symbols, at)
         depth += 1
+        if depth == FINE:
+            fine, _ = _least(symbols, at, sketch)
         if depth == level:
-            low = (symbols >> np.uint64(32)).astype(np.uint32)
-            doc = np.repeat(np.arange(len(texts)), np.diff(at))
-            key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | low)
-            cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
-            low = key.astype(np.uint32)
-            least = [low[a : min(b, a + sketch)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            coarse, n = _least(symbols, at, sketch)
         one = ~known & (np.diff(at) == 1)
         root[one] = mix64(symbols[at[:-1][one]] + np.uint64(depth))
         known |= one
-    return root, least
+    return root, [(c, f if m < FEW else None) for c, f, m in zip(coarse, fine, n.tolist(), strict=True)]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, same: bool, sketch: int = SKETCH) -> float:
+def likeness(a: Names, b: Names, same: bool, sketch: int = SKETCH) -> float:
     if same:
         return 1.0
-    both = sorted({*a.tolist(), *b.tolist()})[:sketch]
+    x, y = (a[0], b[0]) if a[1] is None or b[1] is None else (a[1], b[1])
+    left, right = set(x.tolist()), set(y.tolist())
+    both = sorted(left | right)[:sketch]
     if not both:
         return 0.0
-    left, right = set(a.tolist()), set(b.tolist())
-    j = sum(x in left and x in right for x in both) / len(both)
+    j = sum(z in left and z in right for z in both) / len(both)
     return 2 * j / (1 + j)
 
 
-def _written(root: int, least: np.ndarray) -> str:
-    return f"{root:016x}:" + least.astype(">u4").tobytes().hex()
+def _written(root: int, least: Names) -> str:
+    return ":".join([f"{root:016x}", *("" if x is None else x.astype(">u4").tobytes().hex() for x in least)])
 
 
 def _bounds(docs: DataFrame, parts: int) -> list[int]:

@@ -207,11 +207,94 @@ def test_equal_substrings_share_names_at_any_offset():
     body = b" ".join(word() for _ in range(400))
     other = b" ".join(word() for _ in range(400))
     root, least = fingerprint.fingerprints([body, b"12 345 " + body, body[:900] + b"#" + body[900:], other, body, b"", b"aaaa" * 500])
-    near = [fingerprint.likeness(least[0], x, False) for x in least]
+    near = [fingerprint.likeness(least[0], x, False) for x in least]  # all but the empty text are long
     assert root[0] == root[4] and len({int(x) for x in root}) == 6
     assert near[1] > 0.8 and near[2] > 0.8 and near[3] < 0.1
 
 
+_SIXTY_FOUR = (1 << 64) - 1
+
+
+def _mix(x):
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & _SIXTY_FOUR
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & _SIXTY_FOUR
+    return x ^ x >> 33
+
+
+def plain_level(symbols):
+    """One level of the parsing, symbol by symbol: runs, three rounds of coin tossing, phrases at local maxima."""
+    runs = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    labels = [s for s, _ in runs]
+    for _ in range(3):
+        tossed = []
+        for i, s in enumerate(labels):
+            before = labels[i - 1] if i else s ^ 1
+            low = ((s ^ before) & -(s ^ before)).bit_length() - 1 if s != before else 0
+            tossed.append(2 * low + (s >> low & 1))
+        labels = tossed
+    names = []
+    for s, n in runs:
+        name = int(fingerprint.BYTE_VALUES[s]) if isinstance(s, _Byte) else s
+        names.append(_mix(name + n * int(fingerprint._SALT) & _SIXTY_FOUR) if n > 1 else name)
+    phrases = []
+    for i, name in enumerate(names):
+        peak = i == 0 or labels[i] > labels[i - 1] and (i + 1 == len(labels) or labels[i] > labels[i + 1])
+        if peak:
+            phrases.append([])
+        phrases[-1].append(name)
+    step = int(fingerprint._STEP) | 1
+    return [_mix(sum(x * pow(step, k % 4096 + 1, 1 << 64) for k, x in enumerate(p)) + len(p) * int(fingerprint._SALT) & _SIXTY_FOUR) for p in phrases]
+
+
+class _Byte(int):
+    pass
+
+
+def test_parsing_is_that_of_a_plain_parser():
+    r = np.random.default_rng(9)
+    texts = [bytes(r.integers(97, 97 + k, n).astype(np.uint8)) for k, n in ((26, 900), (2, 500), (3, 77), (26, 5), (1, 40), (4, 2))] + [b"", "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich. ".encode() * 9]
+    root, least = fingerprint.fingerprints(texts)
+    for t, name, (coarse, fine) in zip(texts, root, least, strict=True):
+        level, levels, whole = [_Byte(b) for b in t], [], None
+        while t and (whole is None or len(levels) < fingerprint.LEVEL):
+            level = plain_level(level)
+            levels.append(level)
+            if whole is None and len(level) == 1:
+                whole = _mix(level[0] + len(levels) & _SIXTY_FOUR)
+        low = [sorted({x >> 32 for x in n}) for n in levels]
+        assert int(name) == (whole or 0)
+        assert coarse.tolist() == (low[fingerprint.LEVEL - 1][: fingerprint.SKETCH] if t else [])
+        assert (fine is None) == bool(t and len(low[fingerprint.LEVEL - 1]) >= fingerprint.FEW)
+        assert fine is None or fine.tolist() == (low[fingerprint.FINE - 1][: fingerprint.SKETCH] if t else [])
+
+
+def test_half_edited_short_texts_are_half_alike():
+    r = np.random.default_rng(10)
+    text = lambda n: bytes(r.integers(97, 123, n).astype(np.uint8))
+    found = []
+    for n in (24, 40, 60, 120, 250):
+        for _ in range(40):
+            a, b = text(n), text(n)
+            _, least = fingerprint.fingerprints([a, a[: n - n // 2] + b[: n // 2], b])
+            found.append((fingerprint.likeness(least[0], least[1], False), fingerprint.likeness(least[0], least[2], False)))
+    edited, other = (np.array(x) for x in zip(*found, strict=True))
+    assert 0.3 < np.median(edited) < 0.7 and (edited > 0.1).mean() > 0.97 and np.median(other) == 0
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    word = np.random.default_rng(2).integers(97, 123, 3_000_000).astype(np.uint8).tobytes().decode()
+    df = spark.createDataFrame([(2, word), (1, word[1_000_000:]), (0, "x")], "doc_id long, text string")
+    got = {x.doc_id: x for x in fingerprint.fingerprint_edits(df).collect()}
+    assert got[2].n_chars == 3_000_000 and 0.6 < got[2].near_next < 0.95 and got[1].near_next == 0
+
+
 def page(body, extra=""):
     return f'<html><head><title>t</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">menu</a></ul></nav><!-- no --><div class="ad">buy now</div>{extra}{body}<footer>&copy; me</footer></body></html>'
 
