@@ -3,7 +3,10 @@
 A document's set holds its distinct five-word shingles after lower-casing A-Z; with fewer words the whole sequence is
 its one element; without words it is empty and linked with nothing. Two documents link when their similarity is 0.75 or
 more. Documents with the same set form one class, which takes part once. Null text counts as empty, repeated rows are
-rows of their own, an empty table gives an empty result. Shingles and sets stand for themselves by 64-bit hashes.
+rows of their own, an empty table gives an empty result. Sets go by 64-bit names that a second 64-bit hash checks:
+names that two sets share are found, and all sets of that name go by the second hash instead. An n-gram stands for
+itself by its block and 48 bits of its hash: of the some million n-grams of a block two share theirs once in 60 blocks,
+and a link could only be wrong where two such texts also lie within one n-gram of the bound.
 
 1. The incidence matrix is dealt into blocks of columns (n-grams). A block drops n-grams of a single class; a class
    whose other n-grams make up less than 0.75 of its set has no partner (size bound) and goes. An n-gram that is very
@@ -14,8 +17,8 @@ rows of their own, an empty table gives an empty result. Shingles and sets stand
    both sizes set are discarded. Rows already linked to each other are not compared again, so groups of near copies cost
    about their size, and no pair of different texts is left out.
 4. A cluster over TILE postings is dealt into tiles. Each links its own rows; the heads that tiles leave are dealt and
-   linked again. Rows that are then in different components meet in pairs of tiles; those of the largest one do not
-   meet each other again, so a large group of near copies costs about its size here too.
+   linked again. Rows that are then in different components meet in pairs of tiles of PAIR_TILE postings; those of the
+   largest one do not meet each other again, so a large group of near copies costs about its size here too.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import SpanHasher, materialize, mix64, shuffle_partitions, slices, spans
+from fairlead.llm.common import SpanHasher, materialize, mix64, slices, spans
 from fairlead.llm.components import least_labels
 
 WORDS = 5
@@ -38,8 +41,10 @@ PER_OVERLAP, PER_SIZE = 7, 3
 GATHERED, FREQUENT = 1_200_000, 48
 #: Postings of a block of columns, and keys of a part of the classes that are left; both bound what one task holds.
 BLOCK, PART = 3_000_000, 1_000_000
-#: Postings of a cluster that one task holds; larger clusters are tiled.
-TILE = 500_000
+#: Postings that gather in a bucket of classes; buckets follow the corpus, as blocks and parts do.
+BUCKET = 2_000_000
+#: Postings of a cluster that one task links at once, and of tiles of rows in different components that meet in pairs.
+TILE, PAIR_TILE = 64_000, 500_000
 _KEY_BITS = 48
 _KEY_MASK = np.uint64((1 << _KEY_BITS) - 1)
 _BLANK = np.zeros(256, bool)
@@ -79,10 +84,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
     return h, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_docs))]).astype(np.int64)
 
 
-def _set_names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set; empty sets are named 0."""
+def _set_names(h: np.ndarray, at: np.ndarray, shared: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit name of each set, a second one); empty sets are named 0. A first name in `shared` gives way to the second."""
     raw, ends = h.tobytes(), (at * 8).tolist()
-    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little", signed=True) if b > a else 0 for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int64)
+    digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else bytes(16) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    names = np.frombuffer(digest, np.int64).reshape(-1, 2)
+    own, check = names[:, 0].copy(), names[:, 1]
+    if shared:
+        again = np.isin(own, np.fromiter(shared, np.int64, len(shared)))
+        own[again] = check[again]
+    return own, check
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -158,7 +169,7 @@ def _opened(table: pa.Table, short: bool = False) -> tuple[np.ndarray, ...]:
 
 
 def _block_of(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(44)) * np.uint64(blocks) >> np.uint64(20)).astype(np.int32)
+    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
 
 
 def _deal(owner: np.ndarray, size: np.ndarray, row: np.ndarray, h: np.ndarray, blocks: int, buckets: int) -> pa.Table:
@@ -201,7 +212,7 @@ def _whole_key(h: np.ndarray, blocks: int) -> np.ndarray:
     return (h & _KEY_MASK) | (_block_of(h, blocks).astype(np.uint64) % np.uint64(1 << 16) << np.uint64(_KEY_BITS))
 
 
-def _postings(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, blocks: int, buckets: int, shared: frozenset[int]) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         held: list[tuple] = []
@@ -214,7 +225,7 @@ def _postings(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
         for batch in batches:
             for _, data, offsets in slices(batch):
                 h, at = shingle_sets(data, offsets)
-                names, n = _set_names(h, at), np.diff(at)
+                names, n = _set_names(h, at, shared)[0], np.diff(at)
                 if len(seen) > 500_000:
                     seen.clear()
                 new = [i for i, x in enumerate(names.tolist()) if x and not (x in seen or seen.add(x))]
@@ -414,16 +425,33 @@ def _cluster_edges(table: pa.Table) -> pa.Table:
 
 
 def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_key (hash of the text), n_shingles, owner (name of the set): one row per input row."""
+    """doc_id, row_key (hash of the text), n_shingles, owner (name of the set), check (its second name): one row per input row."""
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 h, at = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at)), pa.array(_set_names(h, at))], names=["doc_id", "row_key", "n_shingles", "owner"])
+                names, check = _set_names(h, at)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at)), pa.array(names), pa.array(check)], names=["doc_id", "row_key", "n_shingles", "owner", "check"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("row_key"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, row_key long, n_shingles long, owner long")
+    return chosen.mapInArrow(run, "doc_id long, row_key long, n_shingles long, owner long, check long")
+
+
+class Sets:
+    """The sets of a table, one row per input row and one per class, and the names that two different sets share.
+
+    Of n different sets n * n / 2**65 pairs share a name, ten of 20 thousand million, so the driver may hold those.
+    """
+
+    def __init__(self, rows: DataFrame):
+        rows = materialize(rows, "join-sets")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
+        own = materialize(rows.groupBy("owner", "check").agg(F.max("n_shingles").alias("n"), first), "join-classes")
+        self.shared = frozenset(r.owner for r in own.groupBy("owner").agg(F.count("*").alias("k")).filter("k > 1").collect())
+        name = F.when(F.col("owner").isin(list(self.shared)), F.col("check")).otherwise(F.col("owner")).alias("owner") if self.shared else F.col("owner")
+        self.rows = rows.select("doc_id", "row_key", "n_shingles", name)
+        self.classes = own.select(name, "n", "first")
 
 
 def _parts(classes: DataFrame, column: str) -> int:
@@ -484,14 +512,12 @@ def _apart(rows: DataFrame, links: DataFrame, tile: int) -> DataFrame:
     return rows.select("cluster", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "owner", "size", "keys")
 
 
-def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: DataFrame | None = None) -> DataFrame:
+def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: Sets | None = None, pair_tile: int | None = None) -> DataFrame:
     """(node, root) for the set classes that link with another: root is the least class name of the component."""
-    spark = docs.sparkSession
-    sets = materialize(set_table(docs, text=text), "join-sets") if sets is None else sets
-    buckets = shuffle_partitions(spark)
-    total = sets.groupBy("owner").agg(F.max("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
-    blocks = min(max(1, -(-total // BLOCK)), 1 << 20)
-    postings = _postings(docs.select(F.col(text).alias("text")), blocks, buckets)
+    sets = Sets(set_table(docs, text=text)) if sets is None else sets
+    total = sets.classes.agg(F.sum("n")).first()[0] or 0
+    blocks, buckets = max(1, -(-total // BLOCK)), max(1, -(-total // BUCKET))
+    postings = _postings(docs.select(F.col(text).alias("text")), blocks, buckets, sets.shared)
     shared = postings.groupBy("to").applyInArrow(lambda t: _screen_block(t, buckets), _PACKED_SQL)
     candidates = materialize(shared.groupBy("to").applyInArrow(_gather, _CLASS_SQL), "join-candidates")
     parts = _parts(candidates, "keys")
@@ -507,25 +533,23 @@ def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: Dat
         return least_labels(edges, "join-links")
     whole = materialize(dealt.filter("tiles > 1").drop("tiles", "i"), "join-large-rows")
     edges = edges.unionByName(_linked_heads(whole, edges, tile))
-    apart = _apart(whole, least_labels(edges, "join-parts"), tile)
+    apart = _apart(whole, least_labels(edges, "join-parts"), pair_tile or max(tile, PAIR_TILE))
     return least_labels(edges.unionByName(_linked(apart, "lo", "hi")), "join-links")
 
 
-def _rooted(docs: DataFrame, sets: DataFrame, tile: int, text: str) -> DataFrame:
+def _rooted(docs: DataFrame, sets: Sets, tile: int, text: str, pair_tile: int | None = None) -> DataFrame:
     """owner, root, first: the set classes with the class that names their component and their row of least (doc_id, row_key), null ids last."""
-    links = class_links(docs, tile, text, sets)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
-    classes = sets.filter("n_shingles > 0").groupBy("owner").agg(first)
-    return classes.join(links.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
+    links = class_links(docs, tile, text, sets, pair_tile)
+    return sets.classes.filter("n > 0").select("owner", "first").join(links.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
 
 
-def similarity_components(docs: DataFrame, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similarity_components(docs: DataFrame, tile: int = TILE, doc_id: str = "doc_id", text: str = "text", pair_tile: int | None = None) -> DataFrame:
     """doc_id, row_key, n_shingles, owner (set class), component_id: one row per input row."""
-    sets = materialize(set_table(docs, doc_id, text), "join-sets")
-    classes = _rooted(docs, sets, tile, text)
+    sets = Sets(set_table(docs, doc_id, text))
+    classes = _rooted(docs, sets, tile, text, pair_tile)
     least = classes.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
     ids = classes.join(least, "root").select("owner", "component_id")
-    out = sets.join(ids, "owner", "left")
+    out = sets.rows.join(ids, "owner", "left")
     return out.select("doc_id", "row_key", "n_shingles", "owner", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -534,11 +558,14 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     A component goes by its root class, as ids may be null or repeat. Texts without words link with nothing.
     """
-    sets = materialize(set_table(docs, doc_id, text), "join-sets")
+    names = [f"__d{i}" for i in range(len(docs.columns))]
+    whole, at = docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+    sets = Sets(set_table(docs, doc_id, text))
     linked = _rooted(docs, sets, TILE, text).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.row_key")
-    kept = linked.unionByName(sets.filter("n_shingles = 0").select("doc_id", "row_key"))
+    kept = linked.unionByName(sets.rows.filter("n_shingles = 0").select("doc_id", "row_key"))
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    rows = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__key", F.xxhash64(F.col(text).cast("string")))
+    rows = whole.withColumn("__id", F.col(at[doc_id]).cast("long")).withColumn("__key", F.xxhash64(F.col(at[text]).cast("string")))
     keys = [F.coalesce("__id", F.lit(0).cast("long")).alias("__a"), F.col("__id").isNull().alias("__b")]
     rows, kept = rows.select("*", *keys), kept.select("__key", *keys)
-    return rows.join(kept, ["__a", "__b", "__key"], "left_semi").dropDuplicates(["__a", "__b", "__key"]).select(*docs.columns)
+    found = rows.join(kept, ["__a", "__b", "__key"], "left_semi").dropDuplicates(["__a", "__b", "__key"])
+    return found.select(*[F.col(n).alias(c) for c, n in at.items()])

@@ -68,18 +68,38 @@ def corpus():
 def test_join_against_all_pairs(spark, tile, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 2000)
     rows = corpus()
+    monkeypatch.setattr(ngram_join, "BUCKET", 1500)
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, owner int, size int")
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.similarity_components(df, tile).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.similarity_components(df, tile, pair_tile=tile).collect())
     assert got == plain_components(rows)
 
 
+def test_sets_that_share_a_name_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 11, 3, 7, 70), (2, 12, 3, 7, 70), (3, 13, 5, 7, 71), (4, 14, 2, 8, 80), (5, 15, 0, 0, 0)], "doc_id long, row_key long, n_shingles long, owner long, check long")
+    sets = ngram_join.Sets(rows)
+    assert sets.shared == {7}
+    assert sorted((r.doc_id, r.owner) for r in sets.rows.collect()) == [(1, 70), (2, 70), (3, 71), (4, 8), (5, 0)]
+    assert sorted((r.owner, r.n, r["first"].doc_id) for r in sets.classes.collect()) == [(0, 0, 5), (8, 2, 4), (70, 3, 1), (71, 5, 3)]
+    h, at = np.arange(6, dtype=np.uint64), np.array([0, 2, 2, 6])
+    own, check = ngram_join._set_names(h, at)
+    again, _ = ngram_join._set_names(h, at, frozenset([int(own[0])]))
+    assert again.tolist() == [check[0], 0, own[2]] and own[1] == 0
+
+
+def test_a_very_long_text_and_its_near_copy_link(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-50], "other"])), (3, " ".join(words[:140_000]))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 199_996, 1), (2, 199_947, 1), (3, 139_996, 3)]
+
+
 def test_one_of_each_component_stays_with_null_and_repeated_ids(spark):
     r = np.random.default_rng(3)
     text = lambda: " ".join(f"w{i}" for i in r.integers(0, 5000, 80))
     alone, twice, near, mixed = [text() for _ in range(4)], [text(), text()], text(), text()
     rows = [(None, t, "alone") for t in alone] + [(5, t, "twice") for t in twice]
     rows += [(None, near, "near"), (None, near + " x", "near"), (7, mixed, "mixed"), (None, mixed + " y", "mixed"), (7, text(), "other"), (None, "", "blank"), (None, " ", "blank"), (7, "", "blank")]
-    got = [tuple(x) for x in ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()]
+    got = [tuple(x) for x in ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __id string")).collect()]
     assert collections.Counter(k for _, _, k in got) == {"alone": 4, "twice": 2, "near": 1, "mixed": 1, "other": 1, "blank": 3}
     assert (7, mixed, "mixed") in got and {t for _, t, k in got if k in ("alone", "twice")} == {*alone, *twice}
 
@@ -95,7 +115,7 @@ def test_large_cluster_of_many_components(spark):
     rows += [(100 + i, " ".join([*words[:90], *(f"x{i}y{k}" for k in range(3)), *words[90:100]])) for i in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for tile in (1200,):
-        got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in ngram_join.similarity_components(df, tile).collect())
+        got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in ngram_join.similarity_components(df, tile, pair_tile=tile).collect())
         assert got == plain_components(rows)
     assert 5 < len({c for _, _, c in got}) < 90
 
