@@ -415,13 +415,22 @@ def link_rows(size: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     return root
 
 
+_LINKED = pa.schema([*_EDGES, ("cluster", pa.int64()), ("owner", pa.int64()), ("size", pa.int32()), ("keys", pa.binary())])
+_LINKED_SQL = "a long, b long, cluster long, owner long, size int, keys binary"
+
+
 def _cluster_edges(table: pa.Table) -> pa.Table:
-    owner = table.column("owner").to_numpy()
-    order = np.argsort(owner)
-    keys = _keys_of(table.column("keys"))
-    root = link_rows(table.column("size").to_numpy().astype(np.int64)[order], [keys[i] for i in order])
+    """Stars (a: head, b: row) of the rows that link; of a tile among several also its heads, as rows."""
+    order = np.argsort(table.column("owner").to_numpy())
+    table = table.take(pa.array(order))
+    owner, keys = table.column("owner").to_numpy(), _keys_of(table.column("keys"))
+    root = link_rows(table.column("size").to_numpy().astype(np.int64), keys)
     node = np.flatnonzero(root != np.arange(len(root)))
-    return pa.Table.from_arrays([pa.array(owner[order][root[node]]), pa.array(owner[order][node])], schema=_EDGES)
+    edges = pa.Table.from_arrays([pa.array(owner[root[node]]), pa.array(owner[node])], schema=_EDGES)
+    if "tiles" not in table.column_names or table.column("tiles")[0].as_py() < 2:
+        return pa.concat_tables([edges, _LINKED.empty_table()], promote_options="default")
+    heads = table.take(pa.array(np.flatnonzero(root == np.arange(len(root))))).select(["cluster", "owner", "size", "keys"])
+    return pa.concat_tables([edges, heads, _LINKED.empty_table()], promote_options="default").select(_LINKED.names)
 
 
 def set_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -460,8 +469,12 @@ def _parts(classes: DataFrame, column: str) -> int:
 
 
 def _linked(rows: DataFrame, *tile: str) -> DataFrame:
-    """Stars (a: head, b: row) of the rows that link within each tile of a cluster."""
-    return rows.groupBy("cluster", *tile).applyInArrow(lambda t: _cluster_edges(t.select(["owner", "size", "keys"])), "a long, b long")
+    """Stars (a, b) of the rows that link within each tile of a cluster, and the heads of clusters of several tiles."""
+    return rows.groupBy("cluster", *tile).applyInArrow(_cluster_edges, _LINKED_SQL)
+
+
+def _edges(linked: DataFrame) -> DataFrame:
+    return linked.filter("a is not null").select("a", "b")
 
 
 def _tiles(members: DataFrame, tile: int) -> DataFrame:
@@ -475,23 +488,23 @@ def _dealt(members: DataFrame, tiles: DataFrame, salt: int) -> DataFrame:
     return out.withColumn("i", F.pmod(F.xxhash64("owner", F.lit(salt)), F.col("tiles")).cast("int"))
 
 
-def _linked_heads(rows: DataFrame, edges: DataFrame, tile: int) -> DataFrame:
+def _linked_heads(linked: DataFrame, before: int, tile: int) -> DataFrame:
     """Edges between the heads that tiles have left in large clusters, dealt anew as long as that halves them.
 
-    In a group of near copies a tile leaves few heads, so the rounds cost about the size of the group.
+    In a group of near copies a tile leaves few heads, so the rounds cost about the size of the group. `before`: the bytes
+    of keys that went into the tiles of `linked`.
     """
-    found, last, salt = [], edges, 1
-    before = rows.agg(F.sum(F.length("keys"))).first()[0]
+    found, salt = [], 1
     while True:
-        rows = materialize(rows.join(last.select(F.col("b").alias("owner")), "owner", "left_anti").select("cluster", "owner", "size", "keys"), "join-heads")
-        after = rows.agg(F.sum(F.length("keys"))).first()[0]
-        tiles = materialize(_tiles(rows, tile).filter("tiles > 1"), "join-large-clusters")
-        dealt = _dealt(rows, tiles, salt)
-        last = materialize(_linked(dealt, "i"), "join-edges")
-        found.append(last)
+        rows = linked.filter("owner is not null").select("cluster", "owner", "size", "keys")
+        sizes = materialize(rows.groupBy("cluster").agg(F.sum(F.length("keys")).alias("w")), "join-heads")
+        after = sizes.agg(F.sum("w")).first()[0] or 0
+        tiles = sizes.select("cluster", F.ceil(F.col("w") / (8 * tile)).cast("int").alias("tiles")).filter("tiles > 1")
+        linked = materialize(_linked(_dealt(rows, tiles, salt), "tiles", "i"), "join-edges")
+        found.append(_edges(linked))
         if 2 * after > before or tiles.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        rows, before, salt = dealt.filter("tiles > 1").select("cluster", "owner", "size", "keys"), after, salt + 1
+        before, salt = after, salt + 1
 
 
 def _apart(rows: DataFrame, links: DataFrame, tile: int) -> DataFrame:
@@ -528,13 +541,14 @@ def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: Set
     members = rows.join(clusters.select(F.col("node").alias("owner"), F.col("root").alias("cluster")), "owner").select("cluster", "owner", "size", "keys")
     large = materialize(_tiles(members, tile).filter("tiles > 1"), "join-large-clusters")
     dealt = _dealt(members, large, 0)
-    edges = materialize(_linked(dealt, "i"), "join-edges")
+    linked = materialize(_linked(dealt, "tiles", "i"), "join-edges")
     if large.isEmpty():
-        return least_labels(edges, "join-links")
+        return least_labels(_edges(linked), "join-links")
     whole = materialize(dealt.filter("tiles > 1").drop("tiles", "i"), "join-large-rows")
-    edges = edges.unionByName(_linked_heads(whole, edges, tile))
+    weight = whole.agg(F.sum(F.length("keys"))).first()[0]
+    edges = _edges(linked).unionByName(_linked_heads(linked, weight, tile))
     apart = _apart(whole, least_labels(edges, "join-parts"), pair_tile or max(tile, PAIR_TILE))
-    return least_labels(edges.unionByName(_linked(apart, "lo", "hi")), "join-links")
+    return least_labels(edges.unionByName(_edges(_linked(apart, "lo", "hi"))), "join-links")
 
 
 def _rooted(docs: DataFrame, sets: Sets, tile: int, text: str, pair_tile: int | None = None) -> DataFrame:
