@@ -477,9 +477,9 @@ def _edges(linked: DataFrame) -> DataFrame:
     return linked.filter("a is not null").select("a", "b")
 
 
-def _tiles(members: DataFrame, tile: int) -> DataFrame:
-    """How many tiles of about `tile` postings each cluster takes."""
-    return members.groupBy("cluster").agg(F.ceil(F.sum(F.length("keys")) / (8 * tile)).cast("int").alias("tiles"))
+def _tiles(weights: DataFrame, tile: int) -> DataFrame:
+    """How many tiles of about `tile` postings each large cluster takes, from (cluster, w), the bytes of its rows' keys."""
+    return weights.groupBy("cluster").agg(F.ceil(F.sum("w") / (8 * tile)).cast("int").alias("tiles")).filter("tiles > 1")
 
 
 def _dealt(members: DataFrame, tiles: DataFrame, salt: int) -> DataFrame:
@@ -499,7 +499,7 @@ def _linked_heads(linked: DataFrame, before: int, tile: int) -> DataFrame:
         rows = linked.filter("owner is not null").select("cluster", "owner", "size", "keys")
         sizes = materialize(rows.groupBy("cluster").agg(F.sum(F.length("keys")).alias("w")), "join-heads")
         after = sizes.agg(F.sum("w")).first()[0] or 0
-        tiles = sizes.select("cluster", F.ceil(F.col("w") / (8 * tile)).cast("int").alias("tiles")).filter("tiles > 1")
+        tiles = _tiles(sizes, tile)
         linked = materialize(_linked(_dealt(rows, tiles, salt), "tiles", "i"), "join-edges")
         found.append(_edges(linked))
         if 2 * after > before or tiles.isEmpty():
@@ -510,19 +510,23 @@ def _linked_heads(linked: DataFrame, before: int, tile: int) -> DataFrame:
 def _apart(rows: DataFrame, links: DataFrame, tile: int) -> DataFrame:
     """Tile pairs (lo, hi) of the rows of large clusters in which rows of different components meet.
 
-    A cluster's largest component, in tiles below 0, meets the other rows, in tiles from 0, but not itself. Clusters
-    of one component are done.
+    A cluster's largest component, in tiles below 0, meets the other rows, in tiles from 0, but not itself. A cluster
+    that one tile can hold meets as one; clusters of one component are done. Components are told on (cluster, owner, w)
+    alone; keys are only moved for the clusters that are left.
     """
-    rows = rows.join(links.select(F.col("node").alias("owner"), "root"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
-    parts = rows.groupBy("cluster", "root").agg(F.sum(F.length("keys")).alias("w"))
+    slim = rows.select("cluster", "owner", F.length("keys").alias("w")).join(links.select(F.col("node").alias("owner"), "root"), "owner", "left")
+    slim = materialize(slim.withColumn("root", F.coalesce("root", "owner")), "join-roots")
+    parts = slim.groupBy("cluster", "root").agg(F.sum("w").alias("w"))
     parts = parts.groupBy("cluster").agg(F.max(F.struct("w", "root")).alias("most"), F.sum("w").alias("all")).filter(F.col("all") > F.col("most.w"))
     count = lambda n: F.ceil(n / (8 * tile)).cast("int")
-    parts = materialize(parts.select("cluster", F.col("most.root").alias("main"), count(F.col("most.w")).alias("p"), count(F.col("all") - F.col("most.w")).alias("q")), "join-apart")
-    rows = rows.join(parts, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
+    parts = materialize(parts.select("cluster", F.col("most.root").alias("main"), count(F.col("most.w")).alias("p"), count(F.col("all") - F.col("most.w")).alias("q"), (F.col("all") <= 8 * tile).alias("one")), "join-apart")
     h = F.xxhash64("owner")
-    rows = rows.withColumn("t", F.when(F.col("in_main"), -1 - F.pmod(h, F.col("p"))).otherwise(F.pmod(h, F.col("q"))).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.when(F.col("in_main"), 0).otherwise(-F.col("p")), F.col("q") - 1)))
-    return rows.select("cluster", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "owner", "size", "keys")
+    place = slim.join(parts, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
+    place = place.withColumn("t", F.when(F.col("one"), 0).when(F.col("in_main"), -1 - F.pmod(h, F.col("p"))).otherwise(F.pmod(h, F.col("q"))).cast("int"))
+    first = F.when(F.col("one") | F.col("in_main"), 0).otherwise(-F.col("p"))
+    place = place.select("owner", "t", first.alias("first"), F.when(F.col("one"), 0).otherwise(F.col("q") - 1).alias("last"))
+    met = rows.join(parts.select("cluster"), "cluster", "left_semi").join(place, "owner").withColumn("o", F.explode(F.sequence("first", "last")))
+    return met.select("cluster", F.least("t", "o").alias("lo"), F.greatest("t", "o").alias("hi"), "owner", "size", "keys")
 
 
 def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: Sets | None = None, pair_tile: int | None = None) -> DataFrame:
@@ -538,14 +542,15 @@ def class_links(docs: DataFrame, tile: int = TILE, text: str = "text", sets: Set
     rows = materialize(counted.groupBy("to").applyInArrow(_prefix, _CLASS_SQL), "join-rows")
     near = _spread(rows, "rare", _parts(rows, "rare")).groupBy("to").applyInArrow(_part_edges, "a long, b long")
     clusters = least_labels(near, "join-clusters")
-    members = rows.join(clusters.select(F.col("node").alias("owner"), F.col("root").alias("cluster")), "owner").select("cluster", "owner", "size", "keys")
-    large = materialize(_tiles(members, tile).filter("tiles > 1"), "join-large-clusters")
-    dealt = _dealt(members, large, 0)
+    slim = rows.select("owner", F.length("keys").alias("w")).join(clusters.select(F.col("node").alias("owner"), F.col("root").alias("cluster")), "owner")
+    slim = materialize(slim, "join-members")
+    placed = _dealt(slim.select("owner", "cluster"), _tiles(slim, tile), 0)
+    dealt = materialize(rows.select("owner", "size", "keys").join(placed, "owner").select("cluster", "tiles", "i", "owner", "size", "keys"), "join-dealt")
     linked = materialize(_linked(dealt, "tiles", "i"), "join-edges")
-    if large.isEmpty():
-        return least_labels(_edges(linked), "join-links")
-    whole = materialize(dealt.filter("tiles > 1").drop("tiles", "i"), "join-large-rows")
+    whole = dealt.filter("tiles > 1").select("cluster", "owner", "size", "keys")
     weight = whole.agg(F.sum(F.length("keys"))).first()[0]
+    if not weight:
+        return least_labels(_edges(linked), "join-links")
     edges = _edges(linked).unionByName(_linked_heads(linked, weight, tile))
     apart = _apart(whole, least_labels(edges, "join-parts"), pair_tile or max(tile, PAIR_TILE))
     return least_labels(edges.unionByName(_edges(_linked(apart, "lo", "hi"))), "join-links")
