@@ -351,40 +351,52 @@ class Vocabulary:
         letters; a special string cut short is ordinary text.
         """
         out = np.zeros(len(text) + 1, np.int64)
-        at = total = 0
-        ordinary = ""
+        at = 0
+        ordinary, tail = "", 0
         for part, special in self.segments(text):
             if special is None:
-                self._segment_counts(part, total, out, at)
+                tail = self._segment_counts(part, int(out[at]), out, at)
             else:
-                for i in range(1, len(part)):
-                    joined = self._splitter.findall(ordinary + part[:i])
-                    out[at + i] = out[at - len(ordinary)] + sum(self.prefix_table(p.encode("utf-8", "surrogatepass"))[-1] for p in joined)
+                for i in range(1, len(part)):  # a few characters, whatever the text before them
+                    joined = self._splitter.findall(ordinary[tail:] + part[:i])
+                    out[at + i] = out[at - len(ordinary) + tail] + sum(self.prefix_table(p.encode("utf-8", "surrogatepass"))[-1] for p in joined)
                 out[at + len(part)] = out[at] + 1
-            ordinary = part if special is None else ""
+            ordinary, tail = (part, tail) if special is None else ("", 0)
             at += len(part)
-            total = int(out[at])
         return out
 
-    def _segment_counts(self, part: str, base: int, out: np.ndarray, at: int) -> None:
-        blank_from, blank_base, i, total = 0, base, 0, base
+    def _segment_counts(self, part: str, base: int, out: np.ndarray, at: int) -> int:
+        """Counts of the prefixes of a segment without special strings; returns where its last pretoken that is no white space starts.
+
+        Each pretoken and each run of white space is counted once, by one table over the whole of it.
+        """
+        blank: list[int] | None = None  # counts of the prefixes of the white space that ends here
+        blank_from = i = tail = 0
+        blank_base = total = base
         for p in self._splitter.findall(part):
-            table = self.prefix_table(p.encode("utf-8", "surrogatepass"))
-            size = 0
+            raw = p.encode("utf-8", "surrogatepass")
+            table = self.prefix_table(raw)
+            if regex.match(r"\s", p):  # white space, or one space before a word
+                if blank is None:
+                    end = regex.match(r"\s+", part, pos=i).end()
+                    blank = self.prefix_table(part[i:end].encode("utf-8", "surrogatepass"))
+                    blank_from, blank_base = i, total
+                    blank_sizes = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in part[i:end]])
+            size, white = 0, True
             for k, c in enumerate(p, 1):
                 size += len(c.encode("utf-8", "surrogatepass"))
-                count = total + table[size]
-                if p[0] == "'" and 2 == k < len(p) and p[1].isalpha():
-                    count = total + self.prefix_table(b"'")[-1] + self.prefix_table(p[1].encode())[-1]
-                if p[:k].isspace() and regex.fullmatch(r"\s+", p[:k]):
-                    run = part[blank_from : i + k]
-                    count = blank_base + self.prefix_table(run.encode("utf-8", "surrogatepass"))[-1]
-                out[at + i + k] = count
+                white = white and bool(regex.match(r"\s", c))
+                if white:
+                    out[at + i + k] = blank_base + blank[int(blank_sizes[i + k - blank_from - 1])]
+                elif p[0] == "'" and 2 == k < len(p) and p[1].isalpha():
+                    out[at + i + k] = total + self.prefix_table(b"'")[-1] + self.prefix_table(p[1].encode())[-1]
+                else:
+                    out[at + i + k] = total + table[size]
+            if not white:
+                blank, tail = None, i
             i += len(p)
             total += table[-1]
-            if not regex.fullmatch(r"\s+", p):
-                blank_from, blank_base = i, total
-        out[at + len(part)] = total if part and not part[-1].isspace() else out[at + len(part)]
+        return tail
 
 
 _OPEN: dict[str, Vocabulary] = {}

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes of text that a classifier's sample holds at most.
+SAMPLE_BYTES = 64 << 20
+
 
 def held_out(fold: int, of: int, doc_id: str = "doc_id"):
     """crc32 of the doc_id as text, modulo `of`, equals `fold`; a null doc_id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, most: dict[int, int], doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, most: dict[int, int], doc_id: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of at most most[label] documents a label, chosen by a hash of doc_id among rows where `learn` holds.
 
     Documents labelled both ways are left out. The sample is bounded by `most`, so the join that fetches its texts may
-    broadcast it. Sorted, so that reruns agree.
+    broadcast it. Of its texts, in the order of that hash, those are taken whose running total is at most `most_bytes`.
+    Sorted, so that reruns agree.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).filter(learn)
     rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("doc_id", "y")
@@ -25,7 +30,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, most:
         part = rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sum(most.values())).select("text", "y").toArrow()
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    held = texts.join(F.broadcast(chosen), "doc_id").withColumn("nth", F.row_number().over(order)).withColumn("held", F.sum(F.octet_length("text")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    found = held.filter((F.col("nth") <= sum(most.values())) & (F.col("held") <= most_bytes)).orderBy("nth").select("text", "y").toArrow()
     return found.column("text").to_pylist(), found.column("y").to_numpy().astype(np.float64)
 
 

@@ -142,7 +142,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> B
 
 
 def score_quality(docs: DataFrame, network: ByteNetwork | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_key (hash of the text), score: one row per input row."""
+    """doc_id, score: one row per input row."""
 
     def run(batches):
         for batch in batches:

@@ -1,7 +1,8 @@
 """Toxicity: a linear-chain conditional random field over words tags toxic spans; its marginals make document scores.
 
 Token labels come from labelled documents: a word of a toxic document is toxic if it or its beginning is found in toxic
-documents far more often than chance allows. The field's features are hashed words, beginnings and endings; two tags
+documents far more often than chance allows. Two such rules are tried, and the one whose field tells the spare learning
+documents better is kept; held-out rows have no part in it. The field's features are hashed words, beginnings and endings; two tags
 and their transitions are fitted by forward-backward on a bounded sample (SAMPLE per label). Every whole text is tagged;
 a document's score comes from its highest marginal and their sum. Null and empty texts have no words and score low;
 without labels of both kinds every score is 0.5. Repeated rows score alike; an empty table gives an empty result.
@@ -165,7 +166,19 @@ class ToxicField:
             parts.append((lo, hi, doc, f))
         checks = [p for p in parts if p[0] >= learn] or parts
         parts = [p for p in parts if p[0] < learn]
-        tags = self._token_labels(parts, y)
+        own = y[checks[0][0] : checks[-1][1]]
+        found = []
+        for repeated in (False, True):
+            self._fit_field(parts, self._token_labels(parts, y, repeated), rounds)
+            x = np.concatenate([self.summary(self.marginals(self.emissions(f), doc, hi - lo), doc, hi - lo) for lo, hi, doc, f in checks])
+            top = fit_logistic(x, own, ridge=1e-3)
+            z = np.clip(x @ top[0] + top[1], -30, 30)
+            found.append((float(np.mean(np.logaddexp(0, z) - own * z)), repeated, self.weight, self.trans, self.begin, top))
+        _, self.repeated, self.weight, self.trans, self.begin, self.top = min(found, key=lambda r: r[:2])
+        return self
+
+    def _fit_field(self, parts: list, tags: list[np.ndarray], rounds: int) -> None:
+        self.weight = np.zeros(BUCKETS, np.float32)
         seen = np.full(BUCKETS, 1e-6, np.float32)
         self.trans = np.array([[0.0, -4.0], [0.0, -2.0]])
         self.begin = np.array([0.0, -4.0])
@@ -186,16 +199,13 @@ class ToxicField:
                 self.trans += 0.5 * (real - joint) / max(joint.sum(), 1)
                 heads = np.flatnonzero(np.concatenate([[True], ~same]))
                 self.begin += 0.5 * (np.bincount(tag[heads].astype(int), minlength=2) - first) / max(first.sum(), 1)
-        x = np.concatenate([self.summary(self.marginals(self.emissions(f), doc, hi - lo), doc, hi - lo) for lo, hi, doc, f in checks])
-        self.top = fit_logistic(x, y[checks[0][0] : checks[-1][1]], ridge=1e-3)
-        return self
 
     @staticmethod
-    def _token_labels(parts: list, y: np.ndarray) -> list[np.ndarray]:
+    def _token_labels(parts: list, y: np.ndarray, repeated: bool = True) -> list[np.ndarray]:
         """1 for words of toxic documents whose word, or beginning of 4 or 5 bytes, toxic documents hold beyond chance.
 
-        The test is made once for what a document holds at all, and once for what it holds twice or more, which finds
-        beginnings that clean documents have now and then too; the latter are labelled where they stand twice or more.
+        The test is made for what a document holds at all and, if `repeated`, again for what it holds twice or more, which
+        finds beginnings that clean documents have now and then too; the latter are labelled where they stand twice or more.
         """
         toxic, clean = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
         twice = []
@@ -213,7 +223,7 @@ class ToxicField:
         n = np.maximum(toxic + clean, 1)
         gain = toxic * np.log(np.maximum(toxic, 1e-9) / (n * share)) + clean * np.log(np.maximum(clean, 1e-9) / (n * (1 - share)))
         sure = (toxic / n > share + 0.6 * (1 - share)) & (gain > np.log(np.count_nonzero(toxic, axis=1, keepdims=True) + 2.0) + 1)
-        own = lambda f, t: (sure[0][f[:, (0, 2, 3)]] | sure[1][f[:, (0, 2, 3)]] & t).any(axis=1)
+        own = lambda f, t: (sure[0][f[:, (0, 2, 3)]] | sure[1][f[:, (0, 2, 3)]] & t & repeated).any(axis=1)
         return [(y[lo + doc] > 0) * own(f, t).astype(np.float64) for (lo, _, doc, f), t in zip(parts, twice, strict=True)]
 
 

@@ -50,6 +50,20 @@ def test_prefix_counts_are_those_of_each_prefix(vocab, library, text):
     assert np.frombuffer(vocab.encode_batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_prefix_counts_take_time_in_proportion(vocab):
+    """A run of white space is counted once, and text before a special string is not counted again for its characters."""
+    import time
+
+    def took(text):
+        start = time.perf_counter()
+        vocab.prefix_counts(text)
+        return time.perf_counter() - start
+
+    for make in (lambda n: "a" + " \u00a0" * n + "b", lambda n: "words and more " * n + "<|endoftext|>", lambda n: "x<|endoftext|>" * n):
+        took(make(200))
+        assert took(make(4000)) < 12 * took(make(1000)) + 0.2
+
+
 def test_runs_of_mixed_white_space_are_the_librarys(vocab, library):
     runs = ["\u00a0 ", " \u00a0", " \u00a0 \u00a0 ", "\t ", " \t", "\t \t ", "\n \n", " \n \n ", "\n\n ", "  ", "   ", "\u3000 \u2028 ", "\x85 \x1c ", "\x1c \x1c"]
     texts = [f"{a}{r}{b}" for r in runs for a in ("", "a", "a b") for b in ("", "b", "b c", "\u00a0")]
