@@ -77,8 +77,36 @@ class ByteNetwork:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.pooled(data, offsets).astype(np.float64) @ self.out + self.out_bias, -30, 30)))
 
+    def gradients(self, raw: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray], float]:
+        """(mean weighted log loss, its gradients for taps, repeat, bias and out, and for the last bias) of some documents.
+
+        Each maximum passes its gradient to the one chunk or segment that it came from, the last of equal ones.
+        """
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        padded, at, seg, doc = _lay_out(np.concatenate(raw), offsets)
+        z, again = self.chunks(padded, at)
+        top = np.maximum.reduceat(z, seg, axis=0)
+        sizes = np.diff(np.append(seg, len(at)))
+        won = np.maximum.reduceat(np.arange(len(at))[:, None] * (z == np.repeat(top, sizes, axis=0)), seg, axis=0)
+        act = np.maximum(top, 0)
+        per_doc = np.diff(np.append(doc, len(seg)))
+        best = np.maximum.reduceat(act, doc, axis=0)
+        x = np.concatenate([best, np.add.reduceat(act, doc, axis=0) / per_doc[:, None]], axis=1)
+        score = np.clip(x @ self.out + self.out_bias, -30, 30)
+        p = 1 / (1 + np.exp(-score))
+        loss = float((weight * (np.logaddexp(0, score) - y * score)).mean())
+        d = ((p - y) * weight / len(raw)).astype(np.float32)
+        back = d[:, None] * self.out
+        g_top = np.repeat(back[:, FILTERS:] / per_doc[:, None], per_doc, axis=0)
+        g_top[np.maximum.reduceat(np.arange(len(seg))[:, None] * (act == np.repeat(best, per_doc, axis=0)), doc, axis=0), np.arange(FILTERS)] += back[:, :FILTERS]
+        g_top *= top > 0
+        g_taps = np.zeros_like(self.taps)
+        for k in range(TAPS):
+            g_taps[k] = np.bincount((padded[at[won] + k].astype(np.int64) * FILTERS + np.arange(FILTERS)).ravel(), g_top.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+        return loss, [g_taps, (g_top * again[won]).sum(0), g_top.sum(0), x.T @ d], float(d.sum())
+
     def fit(self, texts: list[str], y: np.ndarray, rounds: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 11) -> ByteNetwork:
-        """Adam on the log loss; the maximum passes its gradient to the chunk that it came from. The last layer is then fitted exactly."""
+        """Adam on the log loss with a small ridge on the last layer, which is then fitted exactly."""
         raw = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
         r = np.random.default_rng(seed)
         params = [self.taps, self.repeat, self.bias, self.out]
@@ -89,36 +117,14 @@ class ByteNetwork:
             order = r.permutation(len(raw))
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
-                offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in pick])])
-                padded, at, seg, doc = _lay_out(np.concatenate([raw[i] for i in pick]), offsets)
-                z, again = self.chunks(padded, at)
-                top = np.maximum.reduceat(z, seg, axis=0)
-                sizes = np.diff(np.append(seg, len(at)))
-                place = np.arange(len(at))[:, None] * (z == np.repeat(top, sizes, axis=0))
-                won = np.maximum.reduceat(place, seg, axis=0)
-                act = np.maximum(top, 0)
-                per_doc = np.diff(np.append(doc, len(seg)))
-                best = np.maximum.reduceat(act, doc, axis=0)
-                x = np.concatenate([best, np.add.reduceat(act, doc, axis=0) / per_doc[:, None]], axis=1)
-                p = 1 / (1 + np.exp(-np.clip(x @ self.out + self.out_bias, -30, 30)))
-                d = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
-                g_out = x.T @ d + 1e-4 * self.out
-                back = d[:, None] * self.out
-                g_top = np.repeat(back[:, FILTERS:] / per_doc[:, None], per_doc, axis=0)
-                g_top += np.repeat(back[:, :FILTERS], per_doc, axis=0) * (act == np.repeat(best, per_doc, axis=0))
-                g_top *= top > 0
-                spot = at[won]
-                g_taps = np.zeros_like(self.taps)
-                column = np.arange(FILTERS)
-                for k in range(TAPS):
-                    g_taps[k] = np.bincount((padded[spot + k].astype(np.int64) * FILTERS + column).ravel(), g_top.ravel(), 256 * FILTERS).reshape(256, FILTERS)
-                grads = [g_taps, (g_top * again[won]).sum(0), g_top.sum(0), g_out]
+                _, grads, g_bias = self.gradients([raw[i] for i in pick], y[pick], weight[pick])
+                grads[3] = grads[3] + 1e-4 * self.out
                 step += 1
                 for q, g, (m, v) in zip(params, grads, moments, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     q -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-                self.out_bias -= np.float32(rate * d.sum())
+                self.out_bias -= np.float32(rate * g_bias)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         x = np.concatenate([self.pooled(np.concatenate(raw[lo : lo + 64]), offsets[lo : lo + 65] - offsets[lo]) for lo in range(0, len(raw), 64)])
         scale = x.std(0) + 1e-3

@@ -462,6 +462,67 @@ def test_classifiers_without_labels_and_on_odd_rows(spark, odd):
     assert quality.keep_good(odd, none).count() == len(EDGE)
 
 
+def plain_score(net, text):
+    """The network chunk by chunk: filters, segment maxima, maximum and mean of the segments, probability."""
+    n = max(1, -(-len(text) // quality.STRIDE))
+    at = lambda i: text[i] if 0 <= i < len(text) else 0
+    eight = lambda i: bytes(at(i + k) for k in range(8))
+    outs = []
+    for c in range(n):
+        i = quality.STRIDE * c
+        again = i + quality.TAPS <= len(text) and at(i + quality.TAPS - 1) != 0 and any(eight(i - lag) == eight(i) for lag in range(2, quality.LAGS + 1))
+        z = net.bias.astype(float) + again * net.repeat
+        for k in range(quality.TAPS):
+            z = z + net.taps[k][at(i + k)]
+        outs.append(z)
+    tops = [np.maximum(np.max(outs[s : s + quality.SEGMENT], axis=0), 0) for s in range(0, n, quality.SEGMENT)]
+    return 1 / (1 + np.exp(-(np.concatenate([np.max(tops, axis=0), np.mean(tops, axis=0)]) @ net.out + net.out_bias)))
+
+
+def test_network_is_that_of_plain_loops():
+    r = np.random.default_rng(12)
+    net = quality.ByteNetwork()
+    texts = [bytes(r.integers(1, 256, n).astype(np.uint8)) for n in (0, 1, 7, 8, 33, 700)] + [b"the same " * 40, b"ab" * 300, "größer ".encode() * 20]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert got == pytest.approx([plain_score(net, t) for t in texts], abs=2e-5)
+    raw = [np.frombuffer(t, np.uint8) for t in texts]
+    y, weight = np.array([1, 0, 1, 0, 1, 0, 1, 0, 1.0]), r.uniform(0.5, 2, 9)
+    for name in ("taps", "repeat", "bias", "out"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.out_bias = np.float64(0.1)
+    _, grads, g_bias = net.gradients(raw, y, weight)
+    loss = lambda: net.gradients(raw, y, weight)[0]
+    for param, grad in zip((net.taps, net.repeat, net.bias, net.out), grads, strict=True):
+        for spot in [tuple(i) for i in np.argwhere(np.abs(grad) > np.abs(grad).max() / 3)[:5]]:
+            param[spot] += 1e-5
+            up = loss()
+            param[spot] -= 2e-5
+            down = loss()
+            param[spot] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(grad[spot], rel=0.02, abs=1e-5)
+    net.out_bias += 1e-5
+    up = loss()
+    net.out_bias -= 2e-5
+    assert (up - loss()) / 2e-5 == pytest.approx(g_bias, rel=0.01)
+
+
+def test_scores_of_very_long_texts_are_those_of_their_words(spark):
+    """A text beyond a slice is scored whole: what stands at its end counts."""
+    field, net = toxicity.ToxicField(), quality.ByteNetwork()
+    start, end, _, f = toxicity.features(np.frombuffer(b"foul", np.uint8), np.array([0, 4]))
+    field.weight[f[0]] = 3.0
+    field.trans, field.begin, field.top = np.array([[0.0, -4.0], [0.0, -2.0]]), np.array([0.0, -4.0]), (np.array([1.0, 0.0]), 0.0)
+    long = "clean words " * 200_000
+    rows = [(1, long), (2, long + "foul"), (3, "foul"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, field, with_spans=True).collect()}
+    assert got[2].score > 0.9 > 0.5 > got[1].score and got[3].score > 0.9 and got[4].score < 0.5
+    assert [(s.start, s.end) for s in got[2].spans] == [(len(long), len(long) + 4)] and not got[1].spans
+    scores = {r.doc_id: r.score for r in quality.score_quality(df, net).collect()}
+    assert scores[1] == pytest.approx(plain_score(net, (long[: 12 * 2000]).encode()), abs=0.02) and scores[4] == pytest.approx(plain_score(net, b""), abs=1e-5)
+
+
 def test_field_marginals_are_those_of_all_paths():
     import itertools
 
