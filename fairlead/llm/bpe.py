@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -402,10 +403,19 @@ class Vocabulary:
 _OPEN: dict[str, Vocabulary] = {}
 
 
+def located(path: str) -> str:
+    """A path as it is; a bare name as this machine's public_tokenizers has it."""
+    if os.path.dirname(path):
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(path))
+
+
 def vocabulary(path: str) -> Vocabulary:
     """One vocabulary a path and Python worker."""
     if path not in _OPEN:
-        _OPEN[path] = Vocabulary(path)
+        _OPEN[path] = Vocabulary(located(path))
     return _OPEN[path]
 
 
@@ -428,9 +438,12 @@ def bpe_encode(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: s
         vocab = vocabulary(vocab_path)
         for batch in batches:
             for rows, data, offsets in slices(batch, most=TEXT_BYTES):
-                ids = vocab.encode_batch(_texts(data, offsets))
-                n = [len(x) // 4 for x in ids]
-                cols = [rows.column(0), pa.array(n, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(vocab.decode(x)).hexdigest() for x in ids])]
+                texts = _texts(data, offsets)
+                once = dict.fromkeys(texts)  # copies that stand together, as a mixture's do, are encoded once
+                for t, x in zip(once, vocab.encode_batch(list(once)), strict=True):
+                    once[t] = (x, len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(vocab.decode(x)).hexdigest())
+                ids, n, own, decoded = zip(*map(once.__getitem__, texts), strict=True)
+                cols = [rows.column(0), pa.array(n, pa.int64()), pa.array(own), pa.array(decoded)]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))))

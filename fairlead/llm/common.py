@@ -25,9 +25,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local one on a local master, as in tests; elsewhere that would lose tables, so it is an error.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fairlead-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
@@ -42,13 +47,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_TABLES: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    It goes when `release` is called or the process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    _TABLES[path] = spark
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        if spark := _TABLES.pop(t._table, None):
+            _remove(spark, t._table)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _TABLES.items():
+        _remove(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

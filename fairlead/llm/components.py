@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import materialize
+from fairlead.llm.common import materialize, release
 
 
 def least_labels(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -16,6 +16,7 @@ def least_labels(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("root")), f"{name}-labels")
+    table = labels
     while True:
         of = labels.select(F.col("node").alias("other"), F.col("root").alias("seen"))
         near = both.join(of, "other").groupBy("node").agg(F.min("seen").alias("seen"))
@@ -23,6 +24,8 @@ def least_labels(edges: DataFrame, name: str = "components") -> DataFrame:
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
         after = materialize(fell.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), f"{name}-labels")
         moved = after.filter("root <> old").limit(1).count()
-        labels = after.select("node", "root")
+        release(table)
+        labels, table = after.select("node", "root"), after
         if not moved:
+            release(both)
             return labels

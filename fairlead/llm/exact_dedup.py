@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import LOWER, UPPER, materialize, text_or_empty
+from fairlead.llm.common import LOWER, UPPER, materialize, release, text_or_empty
 
 #: Keys of a bucket's page, and buckets that fill the directory before pages grow with the table instead: it is broadcast.
 PAGE_KEYS, PAGES = 2048, 1 << 18
@@ -48,19 +48,22 @@ def directory(keys: DataFrame, page_keys: int = PAGE_KEYS) -> DataFrame:
     gives every one of them the least depth at which it fits its page; what still does not fit is split in the next
     round. There is no last round but the end of the key.
     """
-    left, depth, found = keys.select("h"), 0, None
+    left, depth, found, rounds = keys.select("h"), 0, None, []
     while True:
         deep = min(depth + STEP, 64)
         counts = left.groupBy(_first_bits(F.col("h"), deep).alias("slot")).agg(F.count("*").alias("n"))
         levels = F.sequence(F.lit(depth + 1 if depth else 0), F.lit(deep))
         at = counts.select("slot", "n", F.explode(levels).alias("depth")).withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {deep} - depth)"))
         held = materialize(at.withColumn("held", F.sum("n").over(W.partitionBy("depth", "prefix"))), "dedup-histogram")
+        rounds.append(held)
         fits = held.filter((F.col("held") <= page_keys) | (F.col("depth") == 64))
         chosen = fits.groupBy("slot").agg(F.min(F.struct("depth", "prefix", "held")).alias("c")).select("c.prefix", "c.depth", F.col("c.held").alias("keys")).distinct()
         found = chosen if found is None else found.unionByName(chosen)
         over = held.filter((F.col("depth") == deep) & (F.col("held") > page_keys)).select("slot")
         if deep == 64 or over.isEmpty():
-            return materialize(found, "dedup-directory")
+            whole = materialize(found, "dedup-directory")
+            release(*rounds)
+            return whole
         left = left.join(over.withColumnRenamed("slot", "__slot"), _first_bits(F.col("h"), deep) == F.col("__slot"), "left_semi")
         depth = deep
 

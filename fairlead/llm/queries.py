@@ -13,8 +13,9 @@ from fairlead.llm.labels import held_out
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where the public vocabulary lies: FAIRLEAD_TOKENIZERS, else the installed folder of vocabularies."""
-    return os.path.join(os.environ.get("FAIRLEAD_TOKENIZERS", "/opt/tokenizers"), name)
+    """The public vocabulary: a file in FAIRLEAD_TOKENIZERS if that is set, else its name, which each worker looks up in public_tokenizers."""
+    folder = os.environ.get("FAIRLEAD_TOKENIZERS")
+    return os.path.join(folder, name) if folder else name
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

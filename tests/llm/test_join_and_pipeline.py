@@ -176,3 +176,15 @@ def test_pipeline_stages_against_plain_python(spark, sf_dir):
     assert len(out) == mix.count()
     text = {r.doc_id: r.text or "" for r in near.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in out)
+
+
+def test_pipeline_of_empty_and_textless_tables(spark, sf_dir):
+    """No rows give no rows at each stage; of textless rows one stays after exact dedup, and its tokens are none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for rows in ([], [(i, None, None, None, None) for i in range(3)] + [(None, None, "x", "y", 0)]):
+        d = spark.createDataFrame(rows, docs.schema)
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            d = stage(spark, d, sf_dir).cache()
+            if name == "exact dedup":
+                assert [r.doc_id for r in d.collect()] == ([2] if rows else [])
+        assert {r.n_tokens for r in d.collect()} <= {0}

@@ -23,7 +23,7 @@ def odd(spark):
 def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(queries.vocab_path())
+    return Tokenizer.from_file(bpe.located(queries.vocab_path()))
 
 
 @pytest.fixture(scope="module")
