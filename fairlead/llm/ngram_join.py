@@ -5,7 +5,7 @@ its one element; without words it is empty and linked with nothing. Two document
 more. Documents with the same set form one class, which takes part once. Null text counts as empty, repeated rows are
 rows of their own, an empty table gives an empty result. Sets go by 64-bit names that a second 64-bit hash checks:
 names that two sets share are found, and all sets of that name go by the second hash instead. An n-gram stands for
-itself by its block and 48 bits of its hash: of the some million n-grams of a block two share theirs once in 60 blocks,
+itself by its block and 48 bits of its hash: of the two million n-grams of a block two share theirs once in 140 blocks,
 and a link could only be wrong where two such texts also lie within one n-gram of the bound.
 
 1. The incidence matrix is dealt into blocks of columns (n-grams). A block drops n-grams of a single class; a class
@@ -40,9 +40,9 @@ PER_OVERLAP, PER_SIZE = 7, 3
 #: Postings that a task gathers before it sends them on, and how often one n-gram must be among them to count as frequent.
 GATHERED, FREQUENT = 1_200_000, 48
 #: Postings of a block of columns, and keys of a part of the classes that are left; both bound what one task holds.
-BLOCK, PART = 3_000_000, 1_000_000
+BLOCK, PART = 2_000_000, 1_000_000
 #: Postings that gather in a bucket of classes; buckets follow the corpus, as blocks and parts do.
-BUCKET = 2_000_000
+BUCKET = 500_000
 #: Postings of a cluster that one task links at once, and of tiles of rows in different components that meet in pairs.
 TILE, PAIR_TILE = 64_000, 500_000
 _KEY_BITS = 48
