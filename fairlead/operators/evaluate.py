@@ -6,6 +6,7 @@ A series has one row a day, so sequential rules take one series a group; the num
 from __future__ import annotations
 
 from bisect import insort
+from functools import reduce
 from math import inf
 from statistics import NormalDist
 
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead import config as C
+from fairlead.functions.numbers import half_even
+from fairlead.operators.laden import rolling
 from fairlead.operators.signals import baseline, code, mad
 
 
@@ -78,6 +81,46 @@ def frozen(b: DataFrame, end: str, k: float = C.K, least: int = C.MIN_LEARN_DAYS
     return after.select("series", "day", "e", "limit", code(F.col("e"), F.col("limit")).alias("class"))
 
 
+def _graded(b: DataFrame, family: str, params: tuple[float, ...], k_of_param: bool, least: int) -> DataFrame:
+    w = learned_mad(b.select("series", "day", "e"), "e", least)
+    grid = w.withColumn("param", F.explode(F.array(*[F.lit(float(p)) for p in params])))
+    limit = (F.col("param") if k_of_param else F.lit(float(C.K))) * C.MAD_SCALE * F.col("learned")
+    return grid.select("series", "day", F.lit(family).alias("family"), "param", code(F.col("e"), limit).alias("class"))
+
+
+def rule_families(series: DataFrame, ks: tuple[float, ...] = C.K_GRID, weeks: tuple[int, ...] = C.WEEK_CHOICES, least: int = C.MIN_LEARN_DAYS) -> DataFrame:
+    """series, day, family, param, class of all walk-forward variants.
+
+    R1: factor k over four base weeks (R0 is k = 2); R2: other numbers of base weeks, of which one may be missing but two
+    must be there; R3: R1 over the seven-day sums; R4: CUSUM thresholds over standardised log ratios.
+    """
+    own = baseline(series)
+    out = [_graded(own, "R1", ks, True, least)]
+    for n in weeks:
+        if n != C.WEEKS:
+            out.append(_graded(baseline(series, n, max(2, n - 1)), "R2", (n,), False, least))
+    summed = rolling(series, C.ROLLING_DAYS).select("series", "day", half_even(F.col("rolled")).alias("value"))
+    out.append(_graded(baseline(summed), "R3", ks, True, least))
+    out.append(cusum(standardised(own, least)).select("series", "day", F.lit("R4").alias("family"), F.col("h").alias("param"), "class"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def rule_table(classes: DataFrame) -> DataFrame:
+    """series, family, param: judged days, signalled days and false alarms per 30 days, over the rule's own days and over those that all rules judge."""
+    rules = classes.select("family", "param").distinct().count()
+    judged = classes.filter(F.col("class") != -9).withColumn("all", F.count("*").over(W.partitionBy("series", "day")) == rules)
+    hit = F.col("class") != 0
+    t = judged.groupBy("series", "family", "param").agg(F.count("*").alias("days"), F.count_if(hit).alias("signalled"), F.count_if("all").alias("common_days"), F.count_if(hit & F.col("all")).alias("common_signalled"))
+    return t.withColumn("per_30", 30 * F.col("signalled") / F.col("days")).withColumn("common_per_30", 30 * F.col("common_signalled") / F.nullif(F.col("common_days"), F.lit(0)))
+
+
+def rule_agreement(classes: DataFrame, family: str = "R1", param: float = C.K) -> DataFrame:
+    """series, family, param: days that a rule and the given one both judge, and how many they judge alike."""
+    one = classes.filter((F.col("family") == family) & (F.col("param") == param)).select("series", "day", F.col("class").alias("own"))
+    both = classes.filter(F.col("class") != -9).join(one.filter("own <> -9"), ["series", "day"])
+    return both.groupBy("series", "family", "param").agg(F.count("*").alias("days"), F.count_if(F.col("class") == F.col("own")).alias("alike"))
+
+
 def cusum(z: DataFrame, hs: tuple[float, ...] = C.CUSUM_GRID, ref: float = C.CUSUM_REF) -> DataFrame:
     """Two-sided tabular CUSUM over z: series, day, h, class. The side that signals starts anew; days without z are passed over."""
 

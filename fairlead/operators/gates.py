@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fairlead import config as C
 from fairlead.functions.cells import CellIndex, GridIndex
-from fairlead.functions.numbers import micros
+from fairlead.functions.numbers import half_even, in_box, micros
 from fairlead.functions.text import COMMERCIAL
 
 
@@ -122,6 +123,34 @@ def crossings(p: DataFrame, gate: Gate, max_gap_s: float = C.CROSSING_GAP_S, ord
     return q.filter(hit).select("mmsi", "ts", F.when(F.col("s") == 1, left).otherwise(right).alias("direction"), F.lit(gate.name).alias("gate"))
 
 
+def in_pool(p: DataFrame, pool: list[Gate], index: CellIndex | None = None, rings: int = C.CORRIDOR_RINGS) -> DataFrame:
+    """Positions in the corridors of several gates, with `gate`, in one scan: a position in two corridors stands twice.
+
+    The gates' bands go to the scan as ranges; their cells, bounded by the gates' lengths, are a broadcast join.
+    """
+    index = index or GridIndex()
+    cells = reduce(DataFrame.unionByName, [corridor(p.sparkSession, g, index, rings) for g in pool])
+    lat, lon = F.col("lat"), F.col("lon")
+    near = p.filter(reduce(Column.__or__, [in_box(lat, lon, g.band()) for g in pool])).withColumn("cell", index.cell(lat, lon))
+    own = reduce(Column.__or__, [(F.col("gate") == g.name) & in_box(lat, lon, g.band()) for g in pool])
+    return near.join(F.broadcast(cells), "cell").filter(own)
+
+
+def pool_crossings(inside: DataFrame, pool: list[Gate], max_gap_s: float = C.CROSSING_GAP_S, order: str = "event_id") -> DataFrame:
+    """crossings() of every gate of a pool over the positions of in_pool: one window per gate and ship."""
+    w = W.partitionBy("gate", "mmsi").orderBy("ts", order)
+    lat, lon = F.col("lat"), F.col("lon")
+
+    def of(f):
+        return F.coalesce(*[F.when(F.col("gate") == g.name, f(g)) for g in pool])
+
+    q = inside.select("gate", "mmsi", "ts", order, micros("ts").alias("us"), of(lambda g: g.side(lat, lon)).alias("s"), of(lambda g: g.inside(lat, lon)).alias("on"))
+    q = q.withColumns({"ps": F.lag("s").over(w), "pon": F.lag("on").over(w), "pus": F.lag("us").over(w)})
+    hit = (F.col("s") != F.col("ps")) & F.col("on") & F.col("pon") & (F.col("us") - F.col("pus") <= int(max_gap_s * 1_000_000))
+    name = of(lambda g: F.when(F.col("s") == 1, g.canonical()[2][0]).otherwise(g.canonical()[2][1]))
+    return q.filter(hit).select("mmsi", "ts", name.alias("direction"), "gate")
+
+
 def with_groups(events: DataFrame, ships: DataFrame) -> DataFrame:
     return events.join(ships.select("mmsi", "ship_group"), "mmsi", "left")
 
@@ -146,8 +175,11 @@ def concentration(events: DataFrame, busy: int = C.FERRY_CROSSINGS, top: int = 5
     """Per gate: how much of the crossings a few ships make, and ship-days that go both ways or often."""
     e = events.withColumn("day", F.to_date("ts")).withColumn("commercial", F.col("ship_group").isin(*COMMERCIAL))
     ship = e.groupBy("gate", "mmsi").agg(F.count("*").alias("n"))
-    ranked = ship.withColumn("r", F.row_number().over(W.partitionBy("gate").orderBy(F.col("n").desc(), "mmsi")))
-    tops = ranked.groupBy("gate").agg(F.sum(F.when(F.col("r") <= top, F.col("n"))).alias("top"), F.max("n").alias("top1"), F.count("*").alias("ships"))
+    largest = [F.col("n").desc(), F.col("mmsi")]
+    part = ship.withColumn("salt", F.pmod(F.xxhash64("mmsi"), F.lit(256)))  # a gate's ships are ranked in parts first
+    part = part.withColumn("r", F.row_number().over(W.partitionBy("gate", "salt").orderBy(*largest))).filter(F.col("r") <= top)
+    ranked = part.withColumn("r", F.row_number().over(W.partitionBy("gate").orderBy(*largest))).filter(F.col("r") <= top)
+    tops = ranked.groupBy("gate").agg(F.sum("n").alias("top")).join(ship.groupBy("gate").agg(F.max("n").alias("top1"), F.count("*").alias("ships")), "gate")
     days = e.groupBy("gate", "day", "mmsi").agg(F.count("*").alias("n"), F.countDistinct("direction").alias("d"), F.count_if("commercial").alias("cn"))
     per_day = days.groupBy("gate").agg(
         F.count_if(F.expr("d > 1")).alias("ship_days_both"),
@@ -174,7 +206,7 @@ def through_traffic(first: DataFrame, second: DataFrame, hours: float = C.TRANSI
 
 
 def weighted_median(p: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """Median of `value` taken `weight` times, rounded half to even at one decimal: the mean of the two middle copies.
+    """Median of `value` taken `weight` times: the mean of the two middle copies.
 
     By running weights over distinct values instead of copies, so a weight of a million costs one row.
     """
@@ -185,3 +217,9 @@ def weighted_median(p: DataFrame, key: str, value: str, weight: str) -> DataFram
     holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("w") < k)
     m = v.groupBy(key).agg(F.max(F.when(holds(lo), F.col(value))).alias("lo"), F.max(F.when(holds(hi), F.col(value))).alias("hi"))
     return m.select(key, ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+
+
+def gate_draught(inside: DataFrame, weight: str) -> DataFrame:
+    """mmsi, draught: weighted median of the draughts above 0 (0 is 'not set') that corridors saw, to one decimal."""
+    m = weighted_median(inside.filter("draught > 0"), "mmsi", "draught", weight)
+    return m.select("mmsi", half_even(F.col("median"), 1).alias("draught"))

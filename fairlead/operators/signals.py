@@ -18,9 +18,9 @@ def calendar(first: Column | str, last: Column | str, of: DataFrame) -> DataFram
 
 
 def zero_filled(series: DataFrame) -> DataFrame:
-    """All series on all days that any series has; absent pairs are zero."""
+    """All series on all days that any series has; absent pairs are zero. The calendar, some thousand days, is broadcast."""
     days, names = series.select("day").distinct(), series.select("series").distinct()
-    grid = names.withColumn("__all", F.lit(1)).join(days.withColumn("__all", F.lit(1)), "__all").drop("__all")
+    grid = names.withColumn("__all", F.lit(1)).join(F.broadcast(days.withColumn("__all", F.lit(1))), "__all").drop("__all")
     return grid.join(series, ["series", "day"], "left").select("series", "day", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -45,6 +45,20 @@ def baseline(series: DataFrame, weeks: int = C.WEEKS, least: int = C.MIN_BASE_DA
     return g.select("series", "day", "value", "base_days", "base", deviation(F.col("value"), F.col("base")).alias("e"))
 
 
+def lag_segments(daily: DataFrame, first: str, last: str, lags: tuple[int, ...], sums: list[str]) -> DataFrame:
+    """lag, segment (before, during or after the closed range first..last moved by `lag` days), from, to, days and the daily mean of each column."""
+    a, b = (F.date_add(F.lit(x).cast("date"), F.col("lag")) for x in (first, last))
+    moved = daily.withColumn("lag", F.explode(F.array(*[F.lit(x) for x in lags])))
+    segment = F.when(F.col("day") < a, "before").when(F.col("day") <= b, "during").otherwise("after")
+    return moved.groupBy("lag", segment.alias("segment")).agg(F.min("day").alias("from"), F.max("day").alias("to"), F.count("*").alias("days"), *[F.avg(c).alias(c) for c in sums])
+
+
+def iso_week(day: Column) -> Column:
+    """The ISO year and week of a day, as 2024-W09."""
+    monday = F.date_trunc("WEEK", day)
+    return F.concat(F.year(F.date_add(monday.cast("date"), 3)).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
+
+
 def mad(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key, mad: median absolute deviation from the median, in two passes."""
     mid = rows.groupBy(key).agg(F.median(value).alias("__m"))
@@ -130,7 +144,7 @@ def weekly(series: DataFrame, full_weeks_only: bool = False) -> DataFrame:
 
 
 def average_rank(value: str, key: str | None = None) -> Column:
-    """Rank with equals sharing their mean rank."""
+    """Rank with equals sharing their mean rank. Without a key for tables that a calendar bounds, one row a day."""
     part = W.partitionBy(key) if key else W.partitionBy()
     same = W.partitionBy(*([key] if key else []), value)
     return F.rank().over(part.orderBy(value)) + (F.count("*").over(same) - 1) / 2

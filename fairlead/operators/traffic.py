@@ -80,6 +80,25 @@ def day_summary(hours: DataFrame) -> DataFrame:
     return hours.groupBy("date").agg(F.sum("messages").alias("messages"), best.alias("peak_hour"), F.max("ships").alias("peak_ships"), F.avg("ships").alias("mean_ships"))
 
 
+def ever_in_box(p: DataFrame, box: C.Box = C.STUDY_BOX) -> DataFrame:
+    """All positions of the ships that were in the box at least once."""
+    ships = p.filter(in_box(F.col("lat"), F.col("lon"), box)).select("mmsi").distinct()
+    return p.join(ships, "mmsi", "left_semi")
+
+
+def fill_rates(p: DataFrame, fields: list[str]) -> DataFrame:
+    """field, messages, filled, ships, ships_filled: how many messages and ships say something in a field, in one pass a ship."""
+    says = [F.max(not_empty(F.col(f)).cast("int")).alias(f"{f}_any") for f in fields]
+    per = p.groupBy("mmsi").agg(F.count("*").alias("n"), *[F.count_if(not_empty(F.col(f))).alias(f) for f in fields], *says)
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("filled"), F.col(f"{f}_any").alias("any")) for f in fields])).alias("r")
+    return per.select("n", rows).groupBy("r.field").agg(F.sum("n").alias("messages"), F.sum("r.filled").alias("filled"), F.count("*").alias("ships"), F.count_if(F.col("r.any") == 1).alias("ships_filled"))
+
+
+def hash_sample(p: DataFrame, share: float, *keys: str, seed: int = 0) -> DataFrame:
+    """A share of the rows that depends only on their keys, so reruns and other partitionings give the same rows."""
+    return p.filter(F.pmod(F.crc32(F.concat_ws("|", F.lit(str(seed)), *keys).cast("binary")), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
 def vote(p: DataFrame, value: Column, key: str = "mmsi", weight: str | None = None) -> DataFrame:
     """The most frequent value of each key; of equally frequent ones the least."""
     n = F.sum(weight) if weight else F.count("*")

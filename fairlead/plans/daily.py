@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead import config as C
-from fairlead.functions.cells import CellIndex, GridIndex
+from fairlead.functions.cells import CellIndex
 from fairlead.functions.numbers import in_box
 from fairlead.operators import gates, laden, signals, traffic
 
@@ -19,17 +19,11 @@ def day_crossings(p: DataFrame, pool: list[gates.Gate], index: CellIndex | None
     Gates of one pool share the votes: group and draught come from all their corridors together, so monitored gates go in
     one pool and each experimental gate in its own.
     """
-    index = index or GridIndex()
-    spark = p.sparkSession
-    inside, events = None, None
-    for g in pool:
-        near = gates.in_corridor(p.filter(in_box(F.col("lat"), F.col("lon"), g.band())), gates.corridor(spark, g, index), index)
-        e = gates.crossings(near, g, max_gap_s, order)
-        inside = near if inside is None else inside.unionByName(near)
-        events = e if events is None else events.unionByName(e)
-    median = gates.weighted_median(inside.filter("draught is not null"), "mmsi", "draught", weight or "one") if weight else gates.weighted_median(inside.filter("draught is not null").withColumn("one", F.lit(1)), "mmsi", "draught", "one")
+    inside = gates.in_pool(p, pool, index)
+    events = gates.pool_crossings(inside, pool, max_gap_s, order)
     out = gates.with_groups(events, traffic.ship_types(inside, weight))
-    return out.join(median.withColumnRenamed("median", "draught"), "mmsi", "left")
+    draughts = gates.gate_draught(inside if weight else inside.withColumn("one", F.lit(1)), weight or "one")
+    return out.join(draughts, "mmsi", "left")
 
 
 def laden_tables(events: DataFrame, history: DataFrame, train_end: str | None = None) -> tuple[DataFrame, DataFrame]:

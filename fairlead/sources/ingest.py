@@ -67,11 +67,21 @@ def unzip_day(path: str, folder: str) -> tuple[str, int]:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, with `rn`: a number that rises in file order (by split, then by line within it)."""
-    header = spark.read.option("header", True).option("quote", '"').csv(path).columns
+    """All columns as text, with `rn`, a number that rises in the order of files and of lines within them.
+
+    Spark deals blocks of files to partitions by size, so `rn` is made of the file's place among the names (10 bits), the
+    megabyte at which the line's block starts (20 bits; blocks are larger) and the line's place in its partition (33 bits).
+    """
+    source = spark.read.option("header", True).option("quote", '"')
+    header, files = source.csv(path).columns, sorted(source.csv(path).inputFiles())
+    if len(files) >= 1 << 10:
+        raise ValueError(f"{path} holds {len(files)} files; read at most 1023 at once")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("encoding", "UTF-8").csv(path)
-    return rows.toDF(*[c.lstrip("﻿") for c in header]).withColumn("rn", F.monotonically_increasing_id())
+    rows = source.schema(schema).option("encoding", "UTF-8").csv(path)
+    file = F.array_position(F.lit(files), F.input_file_name())
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rn = F.shiftleft(file, 53) + F.shiftleft(F.floor(F.col("_metadata.file_block_start") / (1 << 20)), 33) + line
+    return rows.select("*", rn.alias("rn")).toDF(*[c.lstrip("\ufeff") for c in header], "rn")
 
 
 def typed(raw: DataFrame) -> DataFrame:

@@ -21,15 +21,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
-    """Write beside the target and rename, so readers see the old table or the new one."""
+    """Write beside the target and rename, so readers see the old table or the new one. If the rename fails the old one comes back."""
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
     df.write.format(fmt).options(**options).save(beside)
     fs, p = _fs(df.sparkSession, path)
     old = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
     new = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
-    if fs.exists(p):
-        fs.rename(p, old)
-    fs.rename(new, p)
+    had = fs.exists(p)
+    if had and not fs.rename(p, old):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(new, p):
+        if had:
+            fs.rename(old, p)
+        raise OSError(f"{beside} could not be renamed to {path}")
     fs.delete(old, True)
 
 

@@ -42,6 +42,23 @@ def test_ingest_conserves_rows(spark, day):
     assert q["rows"].first().rows == 6 and q["ships"].first().ships == 2
 
 
+def test_line_numbers_rise_through_files_and_blocks(spark, tmp_path):
+    """Files of unlike sizes, small blocks: Spark packs them out of order, `rn` does not."""
+    want = []
+    for name, lines in (("a b.csv", 30_000), ("b.csv", 10), ("c.csv", 90_000)):
+        rows = [f"{name},{i},{'x' * 30}" for i in range(lines)]
+        (tmp_path / name).write_text("\n".join(["file,line,fill", *rows]) + "\n")
+        want += [(name, str(i)) for i in range(lines)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+    try:
+        got = ingest.read_raw(spark, str(tmp_path)).select("file", "line", "rn").toArrow().to_pylist()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r["rn"] for r in got}) == len(want)
+    assert [(r["file"], r["line"]) for r in sorted(got, key=lambda r: r["rn"])] == want
+
+
 def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "day int, v string")
     path = str(tmp_path / "t")
