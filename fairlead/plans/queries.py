@@ -13,6 +13,7 @@ from fairlead.functions.cells import GridIndex
 from fairlead.functions.numbers import day_text, in_box, micros, resultant_length
 from fairlead.operators import asof, destinations, evaluate, gates, laden, sets, signals, traffic, trajectory
 from fairlead.plans import adapter as A
+from fairlead.plans import daily
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -260,20 +261,37 @@ def resample_grid(spark, sf):
 _DR = {"thresholds": (20_000.0, 50_000.0, 100_000.0), "gap_s": A.GAP_S}
 
 
-@query()
+def _dr_sql(thresholds: tuple[float, ...]) -> str:
+    """The scan from anchor to anchor as a recursion over each ship's points."""
+    m, k = f"{C.METRES_PER_DEGREE!r}::DOUBLE", f"{C.KNOT!r}::DOUBLE"
+    way = f"(asog * {k} * (T.us / 1e6 - aus / 1e6))"
+    dy = f"((T.lat - (alat + {way} * cos(radians(acog)) / {m})) * {m})"
+    dx = f"((T.lon - (alon + {way} * sin(radians(acog)) / ({m} * cos(radians(alat))))) * {m} * cos(radians(alat)))"
+    own = "T.us, T.lat, T.lon, T.sog, T.cog"
+    anchor = ", ".join(f"CASE WHEN bad THEN {c} ELSE a{c} END" for c in ("us", "lat", "lon", "sog", "cog"))
+    return f"""TH AS (SELECT unnest([{', '.join(f'{t!r}::DOUBLE' for t in thresholds)}]) AS threshold),
+T AS (SELECT mmsi, event_id, epoch_us(ts) AS us, lat, lon, sog, cog, row_number() OVER (PARTITION BY mmsi ORDER BY epoch_us(ts), event_id) AS i FROM P WHERE mmsi IS NOT NULL),
+DR(threshold, mmsi, event_id, i, kept, error, aus, alat, alon, asog, acog) AS (SELECT threshold, mmsi, event_id, i, TRUE, CAST(NULL AS DOUBLE), {own} FROM T, TH WHERE i = 1
+UNION ALL SELECT threshold, mmsi, event_id, i, bad, CASE WHEN NOT bad THEN miss END, {anchor} FROM (SELECT *, us / 1e6 - aus / 1e6 > {A.GAP_S} OR NOT able OR NOT (miss <= threshold) AS bad FROM
+(SELECT DR.threshold, T.mmsi, T.event_id, T.i, {own}, aus, alat, alon, asog, acog, asog < {C.SOG_INVALID} AND acog < {C.COG_INVALID} AS able, sqrt(pow({dy}, 2) + pow({dx}, 2)) AS miss FROM DR JOIN T ON T.mmsi = DR.mmsi AND T.i = DR.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {A.P_SQL}, {_dr_sql((50_000.0,))} SELECT mmsi, event_id, kept, round(error, 2) AS error FROM DR")
 def dr_compress(spark, sf):
-    return trajectory.dead_reckoning(A.positions(spark, sf), (50_000.0,), A.GAP_S).select("mmsi", "event_id", "kept", r6("error"))
+    return trajectory.dead_reckoning(A.positions(spark, sf), (50_000.0,), A.GAP_S).select("mmsi", "event_id", "kept", F.round("error", 2).alias("error"))
 
 
-@query()
+@query(f"WITH RECURSIVE {A.P_SQL}, {_dr_sql(_DR['thresholds'])} SELECT threshold, count(*) AS points, count(*) FILTER (kept) AS kept, round(count(*) FILTER (kept) / count(*), 6) AS share, round(avg(error), 2) AS mean_error, round(max(error), 2) AS max_error FROM DR GROUP BY 1")
 def dr_sweep(spark, sf):
-    return trajectory.dr_summary(trajectory.dead_reckoning(A.positions(spark, sf), **_DR))
+    t = trajectory.dr_summary(trajectory.dead_reckoning(A.positions(spark, sf), **_DR))
+    return t.select("threshold", "points", "kept", r6("share"), F.round("mean_error", 2).alias("mean_error"), F.round("max_error", 2).alias("max_error"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.P_SQL}, {_dr_sql((50_000.0,))}, KP AS (SELECT P.* FROM P JOIN DR USING (mmsi, event_id) WHERE kept), HF AS (SELECT CAST(hour(ts) AS BIGINT) AS hour, count(DISTINCT mmsi) AS n FROM P GROUP BY 1), HK AS (SELECT CAST(hour(ts) AS BIGINT) AS hour, count(DISTINCT mmsi) AS n FROM KP GROUP BY 1)
+SELECT hour, HF.n AS "full", coalesce(HK.n, 0) AS compressed, abs(HF.n - coalesce(HK.n, 0)) AS difference, round(abs(HF.n - coalesce(HK.n, 0)) / HF.n, 6) AS relative FROM HF LEFT JOIN HK USING (hour)""")
 def dr_effect(spark, sf):
     p = A.positions(spark, sf)
-    return trajectory.compression_effect(p, trajectory.dead_reckoning(p, (50_000.0,), A.GAP_S))
+    return trajectory.compression_effect(p, trajectory.dead_reckoning(p, (50_000.0,), A.GAP_S)).withColumn("relative", F.round("relative", 6))
 
 
 @query(f"WITH {A.P_SQL} SELECT event_id, CAST(coalesce(CASE WHEN round_even((lat - 54.5) / (56.5 - 54.5) * 65534, 0) BETWEEN 0 AND 65534 THEN round_even((lat - 54.5) / (56.5 - 54.5) * 65534, 0) END, 65535) AS INT) AS y, CAST(least(greatest(floor(sog), 0), 63) AS INT) AS s FROM P")
@@ -427,14 +445,67 @@ def otsu_threshold(spark, sf):
     return laden.otsu(_relative(spark, sf), "ship_group", "rel").select("ship_group", r6("threshold"))
 
 
-@query(f"""WITH {_REL}, T0 AS (SELECT * FROM (VALUES ('Tanker', 0.8148::DOUBLE), ('Teherhajó', 0.75::DOUBLE)) AS t(ship_group, threshold)), LD AS (SELECT day, gate, direction, ship_group, count(*) AS crossings, count(*) FILTER (evaluable) AS evaluable, count(*) FILTER (evaluable AND rel >= threshold) AS laden,
-sum(length * width * draught) FILTER (plausible) AS v FROM RL LEFT JOIN T0 USING (ship_group) GROUP BY 1, 2, 3, 4) SELECT day, gate, direction, ship_group, crossings, evaluable, laden, round(v, 2) AS volume, round(laden / nullif(evaluable, 0), 6) AS laden_share FROM LD""")
-def laden_daily(spark, sf):
+_T0 = "T0 AS (SELECT * FROM (VALUES ('Tanker', 0.8148::DOUBLE), ('Teherhajó', 0.75::DOUBLE)) AS t(ship_group, threshold))"
+_LD = f"""{_REL}, {_T0}, LD AS (SELECT day, gate, direction, ship_group, count(*) AS crossings, count(*) FILTER (evaluable) AS evaluable, count(*) FILTER (evaluable AND rel >= threshold) AS laden,
+round_even(sum(length * width * draught) FILTER (plausible), 0) AS volume FROM RL LEFT JOIN T0 USING (ship_group) GROUP BY 1, 2, 3, 4)"""
+
+
+def _laden_daily(spark, sf) -> DataFrame:
     limits = spark.createDataFrame([("Tanker", 0.8148), ("Teherhajó", 0.75)], "ship_group string, threshold double")
-    rel = _relative(spark, sf).join(F.broadcast(limits), "ship_group", "left")
-    hit = F.coalesce(F.col("evaluable") & (F.col("rel") >= F.col("threshold")), F.lit(False))
-    g = rel.withColumn("hit", hit).groupBy("day", "gate", "direction", "ship_group").agg(F.count("*").alias("crossings"), F.count_if("evaluable").alias("evaluable"), F.count_if("hit").alias("laden"), F.round(F.sum(F.when(F.col("plausible"), F.col("length") * F.col("width") * F.col("draught"))), 2).alias("volume"))
-    return g.withColumn("laden_share", F.round(F.col("laden") / F.nullif(F.col("evaluable"), F.lit(0)), 6))
+    return laden.laden_daily(_relative(spark, sf), limits)
+
+
+@query(f"WITH {_LD} SELECT day, gate, direction, ship_group, crossings, evaluable, laden, volume, round_even(laden / nullif(evaluable, 0), 4) AS laden_share FROM LD")
+def laden_daily(spark, sf):
+    return _laden_daily(spark, sf)
+
+
+@query(f"""WITH {_LD}, DY AS (SELECT CAST(day AS DATE) AS day, CAST(sum(crossings) AS DOUBLE) AS crossings, CAST(sum(laden) AS DOUBLE) AS laden, sum(volume) AS volume FROM LD GROUP BY 1),
+LG AS (SELECT unnest([0, 2, 5]) AS lag), SG AS (SELECT DY.*, lag, CASE WHEN day < DATE '2024-01-10' + lag THEN 'before' WHEN day <= DATE '2024-01-15' + lag THEN 'during' ELSE 'after' END AS segment FROM DY, LG)
+SELECT CAST(lag AS INT) AS lag, segment, CAST(min(day) AS VARCHAR) AS "from", CAST(max(day) AS VARCHAR) AS "to", count(*) AS days, round(avg(crossings), 6) AS crossings, round(avg(laden), 6) AS laden, round(avg(volume), 4) AS volume FROM SG GROUP BY 1, 2""")
+def laden_segments(spark, sf):
+    d = _laden_daily(spark, sf).groupBy(F.to_date("day").alias("day")).agg(*[F.sum(c).cast("double").alias(c) for c in ("crossings", "laden", "volume")])
+    t = signals.lag_segments(d, "2024-01-10", "2024-01-15", (0, 2, 5), ["crossings", "laden", "volume"])
+    return text_day(text_day(t, "from"), "to").withColumns({"crossings": F.round("crossings", 6), "laden": F.round("laden", 6), "volume": F.round("volume", 4)})
+
+
+_BELT_CELLS, _NORTH_CELLS = (sorted({c for lat, lon in GridIndex().path(g.a, g.b) for c in GridIndex().disk(lat, lon, C.CORRIDOR_RINGS)}) for g in (A.BELT, A.NORTH))
+
+
+def _near(name: str, gate, cells) -> str:
+    b = gate.band()
+    return f"{name} AS (SELECT * FROM P WHERE {_CELL} IN ({', '.join(map(str, cells))}) AND lat BETWEEN {b.lat_min!r}::DOUBLE AND {b.lat_max!r}::DOUBLE AND lon BETWEEN {b.lon_min!r}::DOUBLE AND {b.lon_max!r}::DOUBLE)"
+
+
+_WVOTE = A.VOTE_SQL.replace("count(*) DESC", "sum(dup_db) DESC").replace("FROM P\n", "FROM PI\n").replace("DISTINCT mmsi FROM P)", "DISTINCT mmsi FROM PI)")
+
+
+@query(f"""WITH {A.P_SQL}, {_near('PB', A.BELT, _BELT_CELLS)}, {_near('PO', A.NORTH, _NORTH_CELLS)}, PI AS (SELECT * FROM PB UNION ALL SELECT * FROM PO), {_WVOTE},
+{A.crossings_sql(A.BELT, 'XB', 'PB')}, {A.crossings_sql(A.NORTH, 'XO', 'PO')},
+WM AS (SELECT mmsi, round_even(median(draught), 1) AS draught FROM PI, generate_series(1, 3) AS c(copy) WHERE copy <= dup_db AND draught > 0 GROUP BY 1)
+SELECT X.mmsi, epoch_us(X.ts) AS us, direction, gate, ship_group, WM.draught FROM (SELECT * FROM XB UNION ALL SELECT * FROM XO) X LEFT JOIN G USING (mmsi) LEFT JOIN WM USING (mmsi)""")
+def day_crossings(spark, sf):
+    x = daily.day_crossings(A.positions(spark, sf), [A.BELT, A.NORTH], max_gap_s=A.GAP_S, order="event_id")
+    return x.select("mmsi", micros("ts").alias("us"), "direction", "gate", "ship_group", "draught")
+
+
+@query(f"WITH {A.P_SQL} SELECT event_id FROM P WHERE mmsi IN (SELECT mmsi FROM P WHERE {BOX})")
+def ever_in_box(spark, sf):
+    return traffic.ever_in_box(A.positions(spark, sf), BOX_C).select("event_id")
+
+
+_SAYS = "upper(trim(coalesce(value, ''))) NOT IN ('', 'UNKNOWN', 'UNDEFINED', 'NAN', 'NONE', 'N/A', 'UNKNOWN VALUE', 'NOT AVAILABLE', 'RESERVED FOR FUTURE USE')"
+
+
+@query(f"WITH {A.P_SQL}, U AS (SELECT mmsi, unnest(['ship_type', 'nav_status', 'destination']) AS field, unnest([ship_type, nav_status, destination]) AS value FROM P) SELECT field, count(*) AS messages, count(*) FILTER ({_SAYS}) AS filled, count(DISTINCT mmsi) AS ships, count(DISTINCT mmsi) FILTER ({_SAYS}) AS ships_filled FROM U GROUP BY 1")
+def fill_rates(spark, sf):
+    t = traffic.fill_rates(A.positions(spark, sf), ["ship_type", "nav_status", "destination"])
+    return t.select("field", "messages", F.col("filled").cast("long").alias("filled"), "ships", "ships_filled")
+
+
+@query("SELECT o_orderdate_week AS week, count(*) AS orders FROM (SELECT strftime(CAST(o_orderdate AS DATE), '%G-W%V') AS o_orderdate_week FROM orders) GROUP BY 1")
+def iso_weeks(spark, sf):
+    return table(spark, sf, "orders").groupBy(signals.iso_week(F.to_date("o_orderdate")).alias("week")).agg(F.count("*").alias("orders"))
 
 
 @query(f"WITH {_REL} SELECT coalesce(gate, 'Mindkét kapu') AS gate, ship_group, count(*) AS crossings, round(100 * avg(CASE WHEN draught IS NOT NULL THEN 1.0 ELSE 0.0 END), 1) AS with_draught, round(100 * avg(CASE WHEN plausible THEN 1.0 ELSE 0.0 END), 1) AS plausible_share, round(100 * avg(CASE WHEN evaluable THEN 1.0 ELSE 0.0 END), 1) AS evaluable_share FROM RL GROUP BY GROUPING SETS ((gate, ship_group), (ship_group))")
@@ -579,11 +650,57 @@ def cusum(spark, sf):
     return text_day(evaluate.cusum(z)).select("series", "day", "h", "class")
 
 
-@query()
+_LOGS = "LR AS (SELECT series, day, ln(CASE WHEN value > 0 THEN value ELSE 0.5 END / base) AS e FROM EE)"
+_LOG_LEARN = A.LEARN_SQL.replace("FROM EE t LEFT JOIN EE p", "FROM LR t LEFT JOIN LR p")
+_STD = f"{_SIG}, {_LOGS}, {_LOG_LEARN}, ZZ AS (SELECT series, day, CASE WHEN learned > 0 THEN e / (1.4826::DOUBLE * learned) END AS z FROM L), Z AS (SELECT series, day, z, row_number() OVER (PARTITION BY series ORDER BY day) AS i FROM ZZ WHERE z IS NOT NULL)"
+_STEP = """HH AS (SELECT unnest([1.0::DOUBLE, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0]) AS h),
+ST0 AS (SELECT series, h, i, greatest(0.0::DOUBLE, z - 0.5::DOUBLE) AS up, greatest(0.0::DOUBLE, -z - 0.5::DOUBLE) AS dn FROM Z, HH WHERE i = 1),
+RC AS (SELECT series, h, i, up > h AS hi, dn > h AS lo, CASE WHEN up > h THEN 0.0::DOUBLE ELSE up END AS up, CASE WHEN dn > h THEN 0.0::DOUBLE ELSE dn END AS dn FROM ST0
+UNION ALL SELECT series, h, i, u > h, d > h, CASE WHEN u > h THEN 0.0::DOUBLE ELSE u END, CASE WHEN d > h THEN 0.0::DOUBLE ELSE d END FROM (SELECT RC.series, RC.h, Z.i, greatest(0.0::DOUBLE, RC.up + Z.z - 0.5::DOUBLE) AS u, greatest(0.0::DOUBLE, RC.dn - Z.z - 0.5::DOUBLE) AS d FROM RC JOIN Z ON Z.series = RC.series AND Z.i = RC.i + 1))"""
+_CUS = f"{_STEP}, CU AS (SELECT ZZ.series, ZZ.day, HH.h, CASE WHEN RC.i IS NULL THEN -9 WHEN hi THEN 1 WHEN lo THEN -1 ELSE 0 END AS class FROM ZZ CROSS JOIN HH LEFT JOIN Z ON Z.series = ZZ.series AND Z.day = ZZ.day LEFT JOIN RC ON RC.series = Z.series AND RC.i = Z.i AND RC.h = HH.h)"
+
+
+@query(f"WITH RECURSIVE {_STD}, {_CUS} SELECT series, CAST(day AS VARCHAR) AS day, h, class FROM CU")
 def cusum_standardised(spark, sf):
     return text_day(evaluate.cusum(evaluate.standardised(signals.baseline(A.order_series(spark, sf))))).select("series", "day", "h", "class")
 
 
+def _family_sql(tag: str, source: str, back: tuple[int, ...], least: int) -> str:
+    """CTEs E<tag> (series, day, e) and L<tag> (with the learned MAD) over `source`, with these base weeks."""
+    days = ", ".join(f"s.day - {7 * w}" for w in back)
+    return f"""E{tag} AS (SELECT s.series, s.day, any_value(s.value) / CASE WHEN count(p.value) >= {least} AND median(p.value) > 0 THEN median(p.value) END - 1 AS e FROM {source} s LEFT JOIN {source} p ON p.series = s.series AND p.day IN ({days}) GROUP BY 1, 2),
+N{tag} AS (SELECT t.series, t.day, t.e, count(p.e) AS n, list(p.e) FILTER (p.e IS NOT NULL) AS past FROM E{tag} t LEFT JOIN E{tag} p ON p.series = t.series AND p.day < t.day GROUP BY 1, 2, 3),
+L{tag} AS (SELECT series, day, e, CASE WHEN n >= 21 THEN list_median(list_transform(past, lambda v: abs(v - list_median(past)))) END AS learned FROM N{tag})"""
+
+
+_KS = ", ".join(f"{k!r}::DOUBLE" for k in C.K_GRID)
+_R2 = [w for w in C.WEEK_CHOICES if w != C.WEEKS]
+_RULES = f"""{_STD}, {_CUS}, W7 AS (SELECT series, day, round_even(rolled, 0) AS value FROM {_ROLL}), {_family_sql('R1', 'S', (1, 2, 3, 4), 3)}, {', '.join(_family_sql(f'R2{w}', 'S', tuple(range(1, w + 1)), max(2, w - 1)) for w in _R2)}, {_family_sql('R3', 'W7', (1, 2, 3, 4), 3)}, KG AS (SELECT unnest([{_KS}]) AS k),
+FM AS (SELECT series, day, 'R1' AS family, k AS param, {_CLASS('e', 'k * 1.4826::DOUBLE * learned')} AS class FROM LR1, KG UNION ALL SELECT series, day, 'R3', k, {_CLASS('e', 'k * 1.4826::DOUBLE * learned')} FROM LR3, KG
+{' '.join(f"UNION ALL SELECT series, day, 'R2', {w}::DOUBLE, {_CLASS('e', '2.0::DOUBLE * 1.4826::DOUBLE * learned')} FROM LR2{w}" for w in _R2)} UNION ALL SELECT series, day, 'R4', h, class FROM CU)"""
+
+
+def _rules(spark, sf) -> DataFrame:
+    return evaluate.rule_families(A.order_series(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_RULES} SELECT family, param, class, count(*) AS days FROM FM GROUP BY 1, 2, 3")
+def rule_families(spark, sf):
+    return _rules(spark, sf).groupBy("family", "param", "class").agg(F.count("*").alias("days"))
+
+
+@query(f"""WITH RECURSIVE {_RULES}, JD AS (SELECT *, count(*) OVER (PARTITION BY series, day) = {2 * len(C.K_GRID) + len(_R2) + len(C.CUSUM_GRID)} AS every FROM FM WHERE class <> -9)
+SELECT series, family, param, count(*) AS days, count(*) FILTER (class <> 0) AS signalled, count(*) FILTER (every) AS common_days, count(*) FILTER (every AND class <> 0) AS common_signalled, round(30 * count(*) FILTER (class <> 0) / count(*), 6) AS per_30, round(30 * count(*) FILTER (every AND class <> 0) / nullif(count(*) FILTER (every), 0), 6) AS common_per_30 FROM JD GROUP BY 1, 2, 3""")
+def rule_table(spark, sf):
+    t = evaluate.rule_table(_rules(spark, sf))
+    return t.withColumns({"per_30": F.round("per_30", 6), "common_per_30": F.round("common_per_30", 6)})
+
+
+@query(f"WITH RECURSIVE {_RULES}, R0 AS (SELECT series, day, class AS own FROM FM WHERE family = 'R1' AND param = 2.0 AND class <> -9) SELECT series, family, param, count(*) AS days, count(*) FILTER (class = own) AS alike FROM FM JOIN R0 USING (series, day) WHERE class <> -9 GROUP BY 1, 2, 3")
+def rule_agreement(spark, sf):
+    return evaluate.rule_agreement(_rules(spark, sf))
+
+
 @query(f"WITH {_SIG}, {A.LEARN_SQL}, KK AS (SELECT unnest([{', '.join(map(str, C.K_GRID))}])::DOUBLE AS k), CL AS (SELECT series, k, {_CLASS('e', 'k * 1.4826::DOUBLE * learned')} AS class FROM L, KK) SELECT series, k, count(*) AS days, round(30 * avg(CASE WHEN class <> 0 THEN 1.0 ELSE 0.0 END), 6) AS per_30 FROM CL WHERE class <> -9 GROUP BY 1, 2")
 def false_alarm_30(spark, sf):
     w = evaluate.walk_forward(signals.baseline(A.order_series(spark, sf)), C.K_GRID)
