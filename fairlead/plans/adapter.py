@@ -95,5 +95,5 @@ EE AS (SELECT *, value / base - 1 AS e FROM E),
 M AS (SELECT series, median(abs(e - m)) AS mad FROM EE JOIN (SELECT series, median(e) AS m FROM EE GROUP BY 1) USING (series) GROUP BY 1),
 SIG AS (SELECT series, day, value, base_days, base, e, CASE WHEN e IS NOT NULL THEN 2.0::DOUBLE * 1.4826::DOUBLE * mad END AS threshold,
   CASE WHEN e IS NULL THEN 'nincs alapszint' WHEN e > 2.0::DOUBLE * 1.4826::DOUBLE * mad THEN 'szokatlanul magas' WHEN e < -(2.0::DOUBLE * 1.4826::DOUBLE * mad) THEN 'szokatlanul alacsony' ELSE 'normál' END AS signal FROM EE LEFT JOIN M USING (series))"""
-LEARN_SQL = """N AS (SELECT t.series, t.day, t.e, count(p.e) AS n, list(p.e) FILTER (p.e IS NOT NULL) AS past FROM EE t LEFT JOIN EE p ON p.series = t.series AND p.day < t.day GROUP BY 1, 2, 3),
-L AS (SELECT series, day, e, CASE WHEN n >= 21 THEN list_median(list_transform(past, lambda v: abs(v - list_median(past)))) END AS learned FROM N)"""
+LEARN_SQL = """N AS (SELECT t.series, t.day, t.e, count(p.e) AS n, median(p.e) AS m, list(p.e) FILTER (p.e IS NOT NULL) AS past FROM EE t LEFT JOIN EE p ON p.series = t.series AND p.day < t.day GROUP BY 1, 2, 3),
+L AS (SELECT series, day, e, CASE WHEN n >= 21 THEN list_median(list_transform(past, lambda v: abs(v - m))) END AS learned FROM N)"""

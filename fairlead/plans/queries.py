@@ -669,8 +669,8 @@ def _family_sql(tag: str, source: str, back: tuple[int, ...], least: int) -> str
     """CTEs E<tag> (series, day, e) and L<tag> (with the learned MAD) over `source`, with these base weeks."""
     days = ", ".join(f"s.day - {7 * w}" for w in back)
     return f"""E{tag} AS (SELECT s.series, s.day, any_value(s.value) / CASE WHEN count(p.value) >= {least} AND median(p.value) > 0 THEN median(p.value) END - 1 AS e FROM {source} s LEFT JOIN {source} p ON p.series = s.series AND p.day IN ({days}) GROUP BY 1, 2),
-N{tag} AS (SELECT t.series, t.day, t.e, count(p.e) AS n, list(p.e) FILTER (p.e IS NOT NULL) AS past FROM E{tag} t LEFT JOIN E{tag} p ON p.series = t.series AND p.day < t.day GROUP BY 1, 2, 3),
-L{tag} AS (SELECT series, day, e, CASE WHEN n >= 21 THEN list_median(list_transform(past, lambda v: abs(v - list_median(past)))) END AS learned FROM N{tag})"""
+N{tag} AS (SELECT t.series, t.day, t.e, count(p.e) AS n, median(p.e) AS m, list(p.e) FILTER (p.e IS NOT NULL) AS past FROM E{tag} t LEFT JOIN E{tag} p ON p.series = t.series AND p.day < t.day GROUP BY 1, 2, 3),
+L{tag} AS (SELECT series, day, e, CASE WHEN n >= 21 THEN list_median(list_transform(past, lambda v: abs(v - m))) END AS learned FROM N{tag})"""
 
 
 _KS = ", ".join(f"{k!r}::DOUBLE" for k in C.K_GRID)

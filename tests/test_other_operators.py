@@ -6,7 +6,7 @@ import pytest
 
 from fairlead import config as C
 from fairlead.functions import text as T
-from fairlead.operators import asof, destinations, traffic, trajectory
+from fairlead.operators import asof, destinations, evaluate, gates, laden, sets, traffic, trajectory
 from pyspark.sql import functions as F
 
 T0 = datetime(2026, 7, 15, 12)
@@ -91,3 +91,47 @@ def test_ship_groups_by_order(spark):
     raw = ["Cargo", "Tanker", "SAR", "HSC", "Sailing", "Law enforcement", None]
     got = [r.g for r in spark.createDataFrame([(x,) for x in raw], "x string").select(T.ship_group(F.col("x")).alias("g")).collect()]
     assert got == ["Teherhajó", "Tanker", T.OTHER, T.OTHER, "Kedvtelési", "Szolgálati", T.OTHER]
+
+
+def test_small_operators_that_no_query_calls(spark):
+    """Keep last, priority order, decision, box area, half-open windows, samples that depend on keys alone."""
+    t = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], "k int, o int, v string")
+    assert sorted((r.k, r.v) for r in traffic.keep_last(t, ["k"], "o").collect()) == [(1, "b"), (2, "c")]
+    tests = spark.createDataFrame([("H1", False), ("H2", True), ("H3", True)], "name string, rejected boolean")
+    assert evaluate.decision(tests).first().effect and not evaluate.decision(tests, ("H1",)).first().effect
+    p = spark.range(20_000).select("id")
+    half = {r.id for r in traffic.hash_sample(p, 0.5, "id").collect()}
+    assert abs(len(half) - 10_000) < 400 and half == {r.id for r in traffic.hash_sample(p.repartition(7), 0.5, "id").collect()}
+    assert half != {r.id for r in traffic.hash_sample(p, 0.5, "id", seed=1).collect()}
+
+
+def test_draught_at_a_crossing_and_a_synthetic_decrease(spark):
+    day = datetime(2024, 1, 3, 5)
+    events = spark.createDataFrame([(1, day), (2, day), (3, day)], "mmsi long, ts timestamp_ntz")
+    seen = spark.createDataFrame([(1, 8.25), (2, 0.4)], "mmsi long, median double")
+    own = spark.createDataFrame([("2024-01-03", m, 6.0 + m, 100.0, 20.0) for m in (1, 2)], "day string, mmsi long, draught double, length double, width double")
+    got = {r.mmsi: r.draught for r in laden.draught_at_crossing(events, seen, own).collect()}
+    assert got == {1: 8.2, 2: 8.0, 3: None}
+    rel = spark.createDataFrame([(m, day, "2024-01-03", "Tanker", True, 0.9) for m in range(2000)], "mmsi long, ts timestamp_ntz, day string, ship_group string, evaluable boolean, rel double")
+    limits = spark.createDataFrame([("Tanker", 0.8)], "ship_group string, threshold double")
+    low = laden.synthetic_decrease(rel, limits, "2024-01-01", 0.3).filter("rel < 0.8")
+    assert 500 < low.count() < 700 and low.select("rel").distinct().count() == 1
+    assert laden.synthetic_decrease(rel, limits, "2024-01-08", 0.3).filter("rel < 0.8").count() == 0
+
+
+def test_concentration_ranks_in_parts_as_it_would_whole(spark):
+    r = np.random.default_rng(0)
+    rows = [(int(m), datetime(2024, 1, 1 + int(d)), "u", "g", "Tanker") for m, d in zip(r.integers(0, 60, 900), r.integers(0, 9, 900), strict=True)]
+    got = gates.concentration(spark.createDataFrame(rows, "mmsi long, ts timestamp_ntz, direction string, gate string, ship_group string")).first()
+    counts = sorted((sum(x[0] == m for x in rows) for m in range(60)), reverse=True)
+    assert got.top5_share == pytest.approx(sum(counts[:5]) / 900) and got.ships == 60 and got.top1_per_day == pytest.approx(counts[0] / 9)
+
+
+def test_week_bootstrap_and_log_difference(spark):
+    days = [(datetime(2024, 1, 1).date() + timedelta(days=i), float(i % 5), 2.0) for i in range(70)]
+    low, high, weeks = evaluate.week_bootstrap(spark.createDataFrame(days, "day date, top double, bottom double"), "top", "bottom", n=200)
+    assert weeks == 10 and low < sum(d[1] for d in days) / 140 < high
+    rows = [(w, days[7 * i][0], float(10 + i + 5 * j), 2.0) for j, w in enumerate(C.WINDOWS) for i in range(6)]
+    b = spark.createDataFrame(rows, "window string, block date, top double, bottom double")
+    mean = {w: sum(r[2] for r in rows if r[0] == w) / 12 for w in C.WINDOWS}
+    assert evaluate.bootstrap_did(b, n=3, log=True)[0] == pytest.approx(math.log(mean["B26"] / mean["A26"]) - math.log(mean["B25"] / mean["A25"]))
