@@ -410,9 +410,9 @@ def ship_daily_attrs(spark, sf):
 _HM = "HM AS (SELECT mmsi, quantile_cont(draught, 0.95) AS max_draught, count(DISTINCT draught) AS values, count(*) AS days FROM D WHERE draught IS NOT NULL GROUP BY 1)"
 
 
-@query(f"WITH {A.P_SQL}, {A.DAY_SQL}, {_HM} SELECT mmsi, round(max_draught, 6) AS max_draught, values, days FROM HM")
+@query(f"WITH {A.P_SQL}, {A.DAY_SQL}, {_HM} SELECT mmsi, round(max_draught, 8) AS max_draught, values, days FROM HM")
 def ship_p95(spark, sf):
-    return laden.ship_max(traffic.ship_day(A.positions(spark, sf))).select("mmsi", r6("max_draught"), "values", "days")
+    return laden.ship_max(traffic.ship_day(A.positions(spark, sf))).select("mmsi", F.round("max_draught", 8).alias("max_draught"), "values", "days")
 
 
 def _relative(spark, sf) -> DataFrame:
