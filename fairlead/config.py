@@ -43,6 +43,12 @@ WINDOWS = {
     "B25": ("2025-03-10", "2025-05-30"),
 }
 SAMPLE_WEEKDAYS = (1, 3)
+#: Limit of laden tankers, its variants, and the study's metrics as ratios of two daily columns.
+TANKER_LIMIT, LIMIT_VARIANTS = 0.8148, (0.7648, 0.8648)
+METRICS = {"H1": ("h1", "one"), "H2": ("h2_top", "h2_bottom"), "H3": ("h3", "one")}
+#: Centre and half heights (degrees) of the area sweep, and the lay-out trial's box and rows a group.
+SWEEP_CENTRE, SWEEP_HEIGHTS = (55.34, 11.00), (0.01, 0.025, 0.05, 0.1, 0.2, 0.4, 0.8)
+TRIAL_BOX, GROUP_ROWS = Box(55.28, 55.40, 10.85, 11.15), 100_000
 
 HIGH, LOW, NORMAL, NO_BASE = "szokatlanul magas", "szokatlanul alacsony", "normál", "nincs alapszint"
 BOTH_GATES = "Mindkét kapu"

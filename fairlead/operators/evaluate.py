@@ -269,7 +269,8 @@ def block_sums(daily: DataFrame, top: str, bottom: str) -> DataFrame:
     return daily.groupBy("window", "block").agg(F.sum(top).cast("double").alias("top"), F.sum(bottom).cast("double").alias("bottom"))
 
 
-def _mean(x: np.ndarray) -> float:
+def ratio(x: np.ndarray) -> float:
+    """Sum of the first column over that of the second; NaN over zero."""
     return x[:, 0].sum() / x[:, 1].sum() if x[:, 1].sum() else np.nan
 
 
@@ -290,15 +291,22 @@ def bootstrap_did(blocks: DataFrame, controls: list[DataFrame] | None = None, n:
     Block sums are a few dozen rows (weeks of four windows), so they are drawn on the driver. With `log`, differences of
     logarithms.
     """
-    tables = []
-    for b in (blocks, *(controls or [])):
-        rows = sorted((r.window, r.block, r.top, r.bottom) for r in b.collect())
-        tables.append({w: np.array([(r[2], r[3]) for r in rows if r[0] == w]).reshape(-1, 2) for w in C.WINDOWS})
+    return draw_did([week_tables(b.collect()) for b in (blocks, *(controls or []))], n, seed, log)
+
+
+def week_tables(rows: list) -> dict[str, np.ndarray]:
+    """Rows of window, block, top, bottom as one array of (top, bottom) a window, in the order of weeks."""
+    rows = sorted((r.window, r.block, r.top, r.bottom) for r in rows)
+    return {w: np.array([(r[2], r[3]) for r in rows if r[0] == w]).reshape(-1, 2) for w in C.WINDOWS}
+
+
+def draw_did(tables: list[dict[str, np.ndarray]], n: int = C.BOOTSTRAP_N, seed: int = C.DID_SEED, log: bool = False) -> tuple[float, np.ndarray]:
+    """`bootstrap_did` over arrays of weeks; tables after the first are controls."""
 
     def estimate(pick: dict[str, np.ndarray]) -> float:
         found = []
         for t in tables:
-            means = {w: _mean(t[w][pick[w]]) for w in C.WINDOWS}
+            means = {w: ratio(t[w][pick[w]]) for w in C.WINDOWS}
             found.append(_did({w: float(np.log(v)) for w, v in means.items()} if log else means))
         return found[0] - (float(np.mean(found[1:])) if len(found) > 1 else 0.0)
 
@@ -334,14 +342,14 @@ def week_bootstrap(daily: DataFrame, top: str, bottom: str, n: int = C.BOOTSTRAP
     return float(np.percentile(s, 2.5)), float(np.percentile(s, 97.5)), len(rows)
 
 
-def holm(tests: DataFrame, alpha: float = C.ALPHA) -> DataFrame:
-    """name, p, rank, level, p_holm (never falling), rejected (until the first that is not)."""
-    order, whole = W.orderBy("p", "name"), W.partitionBy()
+def holm(tests: DataFrame, alpha: float = C.ALPHA, by: tuple[str, ...] = ()) -> DataFrame:
+    """name, p, rank, level, p_holm (never falling), rejected (until the first that is not); by the given columns."""
+    order, whole = W.partitionBy(*by).orderBy("p", "name"), W.partitionBy(*by)
     t = tests.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(whole))
     left = F.col("m") - F.col("rank") + 1
     t = t.withColumn("level", alpha / left).withColumn("raw", F.least(F.lit(1.0), left * F.col("p")))
     upto = order.rowsBetween(W.unboundedPreceding, 0)
-    return t.select("name", "p", F.col("rank").cast("long").alias("rank"), "level", F.max("raw").over(upto).alias("p_holm"), F.min((F.col("p") < F.col("level")).cast("int")).over(upto).cast("boolean").alias("rejected"))
+    return t.select(*by, "name", "p", F.col("rank").cast("long").alias("rank"), "level", F.max("raw").over(upto).alias("p_holm"), F.min((F.col("p") < F.col("level")).cast("int")).over(upto).cast("boolean").alias("rejected"))
 
 
 def decision(tests: DataFrame, names: tuple[str, ...] = ("H1", "H2")) -> DataFrame:

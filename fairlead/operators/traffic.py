@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead import config as C
 from fairlead.functions.numbers import in_box, plausible_draught, valid_position
-from fairlead.functions.text import clean_text, not_empty, ship_group
+from fairlead.functions.text import NOT_SHIPS, clean_text, not_empty, ship_group
 
 
 def dedup_with_multiplicity(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
@@ -192,3 +194,34 @@ def presence(p: DataFrame, cell: Column) -> DataFrame:
 
 def roll_up(cells: DataFrame, parent: Column, days: Column | float) -> DataFrame:
     return cells.groupBy(parent.alias("cell")).agg((F.sum("ship_hours") / days).alias("per_day"))
+
+
+def sweep_boxes(heights: tuple[float, ...] = C.SWEEP_HEIGHTS, centre: tuple[float, float] = C.SWEEP_CENTRE, bounds: C.Box = C.STUDY_BOX) -> list[tuple[float, C.Box, float]]:
+    """(half height, box, square kilometres) of boxes around one point, as wide as high on the ground, cut to the bounds."""
+    out, shrink, km = [], math.cos(math.radians(centre[0])), C.METRES_PER_DEGREE / 1000
+    for h in heights:
+        b = C.Box(max(centre[0] - h, bounds.lat_min), min(centre[0] + h, bounds.lat_max), max(centre[1] - h / shrink, bounds.lon_min), min(centre[1] + h / shrink, bounds.lon_max))
+        out.append((h, b, (b.lat_max - b.lat_min) * km * (b.lon_max - b.lon_min) * km * shrink))
+    return out
+
+
+def area_sweep(p: DataFrame, boxes: list[tuple[float, C.Box, float]] | None = None) -> DataFrame:
+    """half_height, km2, rows, ships, row_share for each box: one scan and one shuffle (on the ship) for all of them."""
+    boxes = sweep_boxes() if boxes is None else boxes
+    per = p.groupBy("mmsi").agg(F.count("*").alias("n"), *[F.count_if(in_box(F.col("lat"), F.col("lon"), b)).alias(f"n{i}") for i, (_, b, _) in enumerate(boxes)])
+    sums = [F.struct(F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias("rows"), F.count_if((F.col(f"n{i}") > 0) & F.col("mmsi").isNotNull()).alias("ships")).alias(f"s{i}") for i in range(len(boxes))]
+    one = per.agg(F.sum("n").alias("n"), *sums)
+    rows = [F.struct(F.lit(h).alias("half_height"), F.lit(km2).alias("km2"), F.col(f"s{i}.rows").alias("rows"), F.col(f"s{i}.ships").alias("ships"), (F.col(f"s{i}.rows") / F.col("n")).alias("row_share")) for i, (h, _, km2) in enumerate(boxes)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def ships_only(p: DataFrame) -> DataFrame:
+    """Without stations, aids to navigation and search transponders; a missing kind counts as a ship."""
+    return p.filter(~F.coalesce(F.col("type_of_mobile").isin(*NOT_SHIPS), F.lit(False)))
+
+
+def histogram(rows: DataFrame, group: str, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """group, bin, n: counts in equal bins over [low, high], its upper end in the last bin; values outside are left out."""
+    v = rows.filter(F.col(value).between(low, high))
+    b = F.least(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+    return v.groupBy(group, b.alias("bin")).agg(F.count("*").alias("n"))

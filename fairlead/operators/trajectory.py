@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead import config as C
-from fairlead.functions.numbers import micros
+from fairlead.functions.numbers import micros, resultant_length
 from fairlead.operators.traffic import hourly
 
 
@@ -128,3 +128,39 @@ def quantise(x, low: float, high: float):
     """0..65534 over [low, high], 65535 outside."""
     q = F.bround((x - low) / (high - low) * 65534)
     return F.when((q >= 0) & (q <= 65534), q).otherwise(65535).cast("int")
+
+
+def explained(p: DataFrame, dr: DataFrame, gap_s: float = C.DR_GAP_S, order: str = "event_id") -> DataFrame:
+    """Point by point why it was kept or dropped: seconds since the anchor, predicted position, error in metres, decision.
+
+    Decisions: first, blind (the anchor is too old or has no speed or course), off (predicted badly, the next anchor) and
+    dropped. The anchor is the last kept point before, so one window a threshold and ship finds it.
+    """
+    q = p.select("mmsi", order, micros("ts").alias("us"), "lat", "lon", "sog", "cog").join(dr.select("mmsi", order, "threshold", "kept"), ["mmsi", order])
+    before = W.partitionBy("threshold", "mmsi").orderBy("us", order).rowsBetween(W.unboundedPreceding, -1)
+    q = q.withColumn("a", F.last(F.when(F.col("kept"), F.struct("us", "lat", "lon", "sog", "cog")), ignorenulls=True).over(before))
+    able = F.coalesce((F.col("a.sog") < C.SOG_INVALID) & (F.col("a.cog") < C.COG_INVALID), F.lit(False))
+    q = q.withColumn("seconds", F.col("us") / 1e6 - F.col("a.us") / 1e6)
+    seen = able & (F.col("seconds") <= gap_s)
+    way, shrink = F.col("a.sog") * C.KNOT * F.col("seconds"), F.cos(F.radians("a.lat"))
+    q = q.withColumns(
+        {
+            "lat_predicted": F.when(seen, F.col("a.lat") + way * F.cos(F.radians("a.cog")) / C.METRES_PER_DEGREE),
+            "lon_predicted": F.when(seen, F.col("a.lon") + way * F.sin(F.radians("a.cog")) / (C.METRES_PER_DEGREE * shrink)),
+        }
+    )
+    dy, dx = (F.col("lat") - F.col("lat_predicted")) * C.METRES_PER_DEGREE, (F.col("lon") - F.col("lon_predicted")) * C.METRES_PER_DEGREE * shrink
+    decision = F.when(F.col("a").isNull(), "first").when(~seen, "blind").when(F.col("kept"), "off").otherwise("dropped")
+    return q.select("threshold", "mmsi", order, "us", "seconds", "lat_predicted", "lon_predicted", F.sqrt(dy * dy + dx * dx).alias("miss"), decision.alias("decision"))
+
+
+def steadiest(p: DataFrame, turning: bool = False, least_points: int = 200, least_valid: int = 50, least_sog: float = 5.0) -> DataFrame:
+    """mmsi, points, steadiness of the one ship that best shows dead reckoning: the straightest (or most turning) of those under way.
+
+    Steadiness is the circular resultant length of valid courses. Ties go to more points, then to the least ship.
+    """
+    sog, cog = F.when(F.col("sog") < C.SOG_INVALID, F.col("sog")), F.when(F.col("cog") < C.COG_INVALID, F.col("cog"))
+    q = p.filter("mmsi is not null").groupBy("mmsi").agg(F.count("*").alias("points"), F.count(sog).alias("n_sog"), F.median(sog).alias("mid"), F.count(cog).alias("n_cog"), resultant_length(cog).alias("steadiness"))
+    q = q.filter((F.col("points") >= least_points) & (F.col("n_sog") >= least_valid) & (F.col("mid") >= least_sog) & (F.col("n_cog") >= least_valid))
+    best = F.round("steadiness", 9)
+    return q.orderBy(best.asc() if turning else best.desc(), F.col("points").desc(), "mmsi").limit(1).select("mmsi", "points", "steadiness")

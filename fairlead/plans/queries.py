@@ -11,9 +11,10 @@ from fairlead import config as C
 from fairlead.functions import text as T
 from fairlead.functions.cells import GridIndex
 from fairlead.functions.numbers import day_text, in_box, micros, resultant_length
-from fairlead.operators import asof, destinations, evaluate, gates, laden, sets, signals, traffic, trajectory
+from fairlead.operators import asof, destinations, evaluate, gates, laden, sets, signals, study, traffic, trajectory
 from fairlead.plans import adapter as A
 from fairlead.plans import daily
+from fairlead.sources import geo
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,6 +295,26 @@ def dr_effect(spark, sf):
     return trajectory.compression_effect(p, trajectory.dead_reckoning(p, (50_000.0,), A.GAP_S)).withColumn("relative", F.round("relative", 6))
 
 
+_WAY = f"(N.sog * {C.KNOT!r}::DOUBLE * (T.us / 1e6 - N.us / 1e6))"
+_SEEN = f"N.sog < {C.SOG_INVALID} AND N.cog < {C.COG_INVALID} AND T.us / 1e6 - N.us / 1e6 <= {A.GAP_S}"
+
+
+@query(f"""WITH RECURSIVE {A.P_SQL}, {_dr_sql((50_000.0,))}, AI AS (SELECT mmsi, i, kept, max(CASE WHEN kept THEN i END) OVER (PARTITION BY mmsi ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ai FROM DR),
+XP AS (SELECT T.*, kept, ai, T.us / 1e6 - N.us / 1e6 AS seconds, coalesce({_SEEN}, FALSE) AS seen, N.lat + {_WAY} * cos(radians(N.cog)) / {C.METRES_PER_DEGREE!r}::DOUBLE AS y, N.lon + {_WAY} * sin(radians(N.cog)) / ({C.METRES_PER_DEGREE!r}::DOUBLE * cos(radians(N.lat))) AS x, cos(radians(N.lat)) AS c FROM T JOIN AI USING (mmsi, i) LEFT JOIN T N ON N.mmsi = T.mmsi AND N.i = ai)
+SELECT mmsi, event_id, round(seconds, 3) AS seconds, CASE WHEN seen THEN round(y, 6) END AS lat_predicted, CASE WHEN seen THEN round(x, 6) END AS lon_predicted, CASE WHEN seen THEN round(sqrt(pow((lat - y) * {C.METRES_PER_DEGREE!r}::DOUBLE, 2) + pow((lon - x) * {C.METRES_PER_DEGREE!r}::DOUBLE * c, 2)), 2) END AS miss,
+CASE WHEN ai IS NULL THEN 'first' WHEN NOT seen THEN 'blind' WHEN kept THEN 'off' ELSE 'dropped' END AS decision FROM XP""")
+def dr_explained(spark, sf):
+    p = A.positions(spark, sf)
+    t = trajectory.explained(p, trajectory.dead_reckoning(p, (50_000.0,), A.GAP_S), A.GAP_S)
+    return t.select("mmsi", "event_id", F.round("seconds", 3).alias("seconds"), r6("lat_predicted"), r6("lon_predicted"), F.round("miss", 2).alias("miss"), "decision")
+
+
+@query(f"""WITH {A.P_SQL}, SH AS (SELECT mmsi, count(*) AS points, median(sog) FILTER (sog < {C.SOG_INVALID}) AS mid, count(*) FILTER (sog < {C.SOG_INVALID}) AS ns, count(*) FILTER (cog < {C.COG_INVALID}) AS nc, sqrt(pow(avg(cos(radians(cog))) FILTER (cog < {C.COG_INVALID}), 2) + pow(avg(sin(radians(cog))) FILTER (cog < {C.COG_INVALID}), 2)) AS steadiness FROM P WHERE mmsi IS NOT NULL GROUP BY 1)
+SELECT mmsi, points, round(steadiness, 6) AS steadiness FROM SH WHERE points >= 20 AND ns >= 10 AND nc >= 10 AND mid >= 0.5 ORDER BY round(steadiness, 9) DESC, points DESC, mmsi LIMIT 1""")
+def dr_candidate(spark, sf):
+    return trajectory.steadiest(A.positions(spark, sf), least_points=20, least_valid=10, least_sog=0.5).withColumn("steadiness", F.round("steadiness", 6))
+
+
 @query(f"WITH {A.P_SQL} SELECT event_id, CAST(coalesce(CASE WHEN round_even((lat - 54.5) / (56.5 - 54.5) * 65534, 0) BETWEEN 0 AND 65534 THEN round_even((lat - 54.5) / (56.5 - 54.5) * 65534, 0) END, 65535) AS INT) AS y, CAST(least(greatest(floor(sog), 0), 63) AS INT) AS s FROM P")
 def quantised_track(spark, sf):
     return A.positions(spark, sf).select("event_id", trajectory.quantise(F.col("lat"), 54.5, 56.5).alias("y"), F.least(F.greatest(F.floor("sog"), F.lit(0)), F.lit(63)).cast("int").alias("s"))
@@ -503,6 +524,30 @@ def fill_rates(spark, sf):
     return t.select("field", "messages", F.col("filled").cast("long").alias("filled"), "ships", "ships_filled")
 
 
+_SWEEP = traffic.sweep_boxes()
+_SWEEP_SQL = " UNION ALL ".join(f"SELECT {h!r}::DOUBLE AS half_height, round({km2!r}::DOUBLE, 4) AS km2, count(*) AS rows, count(DISTINCT mmsi) AS ships, round(count(*) / (SELECT count(*) FROM P), 6) AS row_share FROM P WHERE lat BETWEEN {b.lat_min!r}::DOUBLE AND {b.lat_max!r}::DOUBLE AND lon BETWEEN {b.lon_min!r}::DOUBLE AND {b.lon_max!r}::DOUBLE" for h, b, km2 in _SWEEP)
+
+
+@query(f"WITH {A.P_SQL} {_SWEEP_SQL}")
+def area_sweep(spark, sf):
+    return traffic.area_sweep(A.positions(spark, sf), _SWEEP).withColumns({"km2": F.round("km2", 4), "row_share": F.round("row_share", 6)})
+
+
+@query(f"WITH {A.P_SQL}, GB AS (SELECT mmsi, {{'xmin': lon, 'ymin': lat, 'xmax': lon, 'ymax': lat}} AS bbox FROM P) SELECT count(DISTINCT mmsi) AS ships, count(*) AS rows FROM GB WHERE bbox.ymin BETWEEN 55.28::DOUBLE AND 55.40::DOUBLE AND bbox.xmin BETWEEN 10.85::DOUBLE AND 11.15::DOUBLE")
+def geo_box(spark, sf):
+    return geo.in_bbox(geo.with_bbox(A.positions(spark, sf)), C.TRIAL_BOX).agg(F.countDistinct("mmsi").alias("ships"), F.count("*").alias("rows"))
+
+
+@query(f"WITH {A.P_SQL} SELECT ship_type, count(*) AS messages, count(DISTINCT mmsi) AS ships FROM P WHERE type_of_mobile NOT IN ('AtoN', 'Base Station', 'Search and Rescue Transponder') GROUP BY 1")
+def ships_only(spark, sf):
+    return traffic.ships_only(A.positions(spark, sf)).groupBy("ship_type").agg(F.count("*").alias("messages"), F.countDistinct("mmsi").alias("ships"))
+
+
+@query(f"WITH {_REL} SELECT ship_group, CAST(least(floor((rel - 0.3::DOUBLE) / (1.2::DOUBLE - 0.3::DOUBLE) * 48), 47) AS INT) AS bin, count(*) AS n FROM RL WHERE rel BETWEEN 0.3::DOUBLE AND 1.2::DOUBLE GROUP BY 1, 2")
+def draught_histogram(spark, sf):
+    return traffic.histogram(_relative(spark, sf), "ship_group", "rel", 0.3, 1.2, 48)
+
+
 @query("SELECT o_orderdate_week AS week, count(*) AS orders FROM (SELECT strftime(CAST(o_orderdate AS DATE), '%G-W%V') AS o_orderdate_week FROM orders) GROUP BY 1")
 def iso_weeks(spark, sf):
     return table(spark, sf, "orders").groupBy(signals.iso_week(F.to_date("o_orderdate")).alias("week")).agg(F.count("*").alias("orders"))
@@ -794,6 +839,67 @@ def sample_calendar(spark, sf):
     return text_day(text_day(evaluate.sample_days(spark)), "block")
 
 
+#: The study's windows in the days that positions cover.
+_EV = {"A25": ("2024-01-02", "2024-01-08"), "B25": ("2024-01-09", "2024-01-16"), "A26": ("2024-01-17", "2024-01-23"), "B26": ("2024-01-24", "2024-01-30")}
+_VARIANTS = {"main": (C.TANKER_LIMIT, False), **{f"limit {k}": (k, False) for k in C.LIMIT_VARIANTS}, "no orders": (C.TANKER_LIMIT, True)}
+_VROWS = ", ".join(f"('{n}', {k!r}::DOUBLE, {'TRUE' if s else 'FALSE'})" for n, (k, s) in _VARIANTS.items())
+_LADEN = "coalesce(evaluable AND rel >= lim, FALSE)"
+_STUDY = f"""{_REL}, {_DCAT.removeprefix(A.P_SQL + ', ')}, SE AS (SELECT RL.*, category FROM RL JOIN DC USING (mmsi, ts) WHERE ship_group = 'Tanker' AND direction = 'észak'), VR AS (SELECT * FROM (VALUES {_VROWS}) AS t(variant, lim, skip)),
+SD AS (SELECT "window", CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM (VALUES {', '.join(f"('{w}', DATE '{a}', DATE '{b}')" for w, (a, b) in _EV.items())}) AS t("window", a, b)),
+SM AS (SELECT variant, CAST(day AS DATE) AS day, count(*) FILTER ({_LADEN}) AS h1, count(*) FILTER ({_LADEN} AND category = '{T.CAT_EAST}') AS h2_top, count(*) FILTER ({_LADEN} AND NOT (skip AND category = '{T.CAT_ORDER}')) AS h2_bottom, sum(length * width * draught) FILTER (plausible) AS h3, count(*) AS outward, count(*) FILTER (evaluable) AS outward_evaluable FROM SE, VR GROUP BY 1, 2),
+DM AS (SELECT v.variant, SD.day, "window", CAST(date_trunc('week', SD.day) AS DATE) AS block, coalesce(h1, 0) AS h1, coalesce(h2_top, 0) AS h2_top, coalesce(h2_bottom, 0) AS h2_bottom, coalesce(h3, 0) AS h3, coalesce(outward, 0) AS outward, coalesce(outward_evaluable, 0) AS outward_evaluable FROM SD CROSS JOIN (SELECT variant FROM VR) v LEFT JOIN SM ON SM.variant = v.variant AND SM.day = SD.day),
+MM AS (SELECT variant, day, "window", block, 'H1' AS metric, h1::DOUBLE AS top, 1::DOUBLE AS bottom FROM DM UNION ALL SELECT variant, day, "window", block, 'H2', h2_top::DOUBLE, h2_bottom::DOUBLE FROM DM UNION ALL SELECT variant, day, "window", block, 'H3', h3::DOUBLE, 1::DOUBLE FROM DM)"""
+_WMEANS = ", ".join(f"sum(top) FILTER (\"window\" = '{w}') / nullif(sum(bottom) FILTER (\"window\" = '{w}'), 0) AS {w}" for w in C.WINDOWS)
+_WROUND = ", ".join(f"round({w}, 6) AS {w}" for w in C.WINDOWS) + ", round((B26 - A26) - (B25 - A25), 6) AS did"
+
+
+def _study_daily(spark, sf, variants=None) -> DataFrame:
+    seen = _categorised(spark, sf).select("mmsi", "ts", "category")
+    events = _relative(spark, sf).filter("ship_group = 'Tanker'").join(seen, ["mmsi", "ts"])
+    return study.daily_metrics(events, evaluate.sample_days(spark, _EV, tuple(range(7))), variants or _VARIANTS)
+
+
+@query(f'WITH {_STUDY} SELECT variant, CAST(day AS VARCHAR) AS day, "window", CAST(block AS VARCHAR) AS block, h1, h2_top, h2_bottom, round(h3, 4) AS h3, outward, outward_evaluable FROM DM')
+def study_metrics(spark, sf):
+    return text_day(text_day(_study_daily(spark, sf), "block")).withColumn("h3", F.round("h3", 4)).drop("one")
+
+
+@query(f"WITH {_STUDY}, WM AS (SELECT variant, metric, count(DISTINCT day) AS days, {_WMEANS} FROM MM GROUP BY 1, 2) SELECT variant, metric, days, {_WROUND} FROM WM")
+def study_means(spark, sf):
+    t = study.window_means(study.by_metric(_study_daily(spark, sf)), ["variant"])
+    return t.select("variant", "metric", "days", *[r6(c) for c in (*C.WINDOWS, "did")])
+
+
+@query(f"WITH {_STUDY}, MS AS (SELECT *, CASE WHEN isodow(day) IN (2, 4) THEN 'sampled' ELSE 'other' END AS subset FROM MM UNION ALL SELECT *, 'all' FROM MM), WM AS (SELECT variant, subset, metric, count(DISTINCT day) AS days, {_WMEANS} FROM MS WHERE variant = 'main' GROUP BY 1, 2, 3) SELECT variant, subset, metric, days, {_WROUND} FROM WM")
+def study_weekdays(spark, sf):
+    t = study.weekday_breakdown(_study_daily(spark, sf, study.MAIN))
+    return t.select("variant", "subset", "metric", "days", *[r6(c) for c in (*C.WINDOWS, "did")])
+
+
+@query()
+def study_results(spark, sf):
+    return study.result_table(_study_daily(spark, sf))
+
+
+@query()
+def study_sensitivity(spark, sf):
+    return study.sensitivity(study.result_table(_study_daily(spark, sf)))
+
+
+@query()
+def study_intervals(spark, sf):
+    return study.window_intervals(_study_daily(spark, sf, study.MAIN))
+
+
+@query(f"""WITH {A.S_SQL}, CA AS (SELECT series, CAST(unnest(generate_series(DATE '1995-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT series FROM S WHERE day BETWEEN DATE '1995-01-01' AND DATE '1998-12-31')),
+SC AS (SELECT CA.series, CA.day, value FROM CA LEFT JOIN S USING (series, day)), SR AS (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS m FROM SC WINDOW w AS (PARTITION BY series ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+SELECT series, CAST(day AS VARCHAR) AS day, value, CASE WHEN n = 7 THEN round(m, 6) END AS rolled FROM SR""")
+def stitched_series(spark, sf):
+    s = A.order_series(spark, sf)
+    parts = [s.filter("day < date'1996-07-01'"), s.filter("day >= date'1996-07-01' and day < date'1997-03-01'"), s.filter("day >= date'1997-03-01'")]
+    return text_day(study.stitched(parts, "1995-01-01", "1998-12-31")).withColumn("rolled", F.round("rolled", 6))
+
+
 # -- sets and publishing -------------------------------------------------------------------------------------
 @query("SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE d NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)")
 def days_except(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,6 +44,8 @@ class FooterReader(DataSourceReader):
                     col = group.column(c)
                     s = col.statistics
                     lo, hi = (s.min, s.max) if s is not None and s.has_min_max else (None, None)
+                    if isinstance(lo, datetime):  # times as microseconds
+                        lo, hi = ((x if x.tzinfo else x.replace(tzinfo=UTC)).timestamp() * 1e6 for x in (lo, hi))
                     number = isinstance(lo, int | float) and not isinstance(lo, bool)
                     yield path, g, group.num_rows, col.path_in_schema, float(lo) if number else None, float(hi) if number else None, col.total_compressed_size
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairlead import config as C
 from fairlead.functions.cells import CellIndex, GridIndex
 from fairlead.functions.numbers import parse_timestamp
 from fairlead.operators.traffic import dedup_with_multiplicity, row_counts, source_order
@@ -98,10 +99,10 @@ def to_store(raw: DataFrame, index: CellIndex | None = None) -> DataFrame:
     return rows.withColumn("cell", (index or GridIndex()).cell(F.col("lat"), F.col("lon"))).drop("first")
 
 
-def write_store(store: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Sorted by cell, time, ship, order: range partitions, so files and row groups skip by cell."""
+def write_store(store: DataFrame, path: str, partitions: int | None = None, group_rows: int = C.GROUP_ROWS) -> None:
+    """Sorted by cell, time, ship, order: range partitions, so files and row groups (of `group_rows`) skip by cell."""
     n = partitions or int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    store.repartitionByRange(n, "cell").sortWithinPartitions("cell", "ts", "mmsi", "ord").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    store.repartitionByRange(n, "cell").sortWithinPartitions("cell", "ts", "mmsi", "ord").write.mode("overwrite").option("compression", "zstd").option("parquet.block.row.count.limit", group_rows).parquet(path)
 
 
 def check_store(spark: SparkSession, path: str, raw_lines: int) -> dict[str, int]:

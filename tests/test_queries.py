@@ -18,8 +18,8 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck, name):
 
 
 def test_queries_without_sql_are_those_with_a_plain_loop_beside_them():
-    """Injected events and what follows from them: test_series; the bootstrap, whose draws are a generator's: below."""
-    assert set(QUERIES) - set(ORACLES) == {"injection_detect", "roc_points", "operating_point", "bootstrap_did", "mde"}
+    """Injected events and what follows from them: test_series; the bootstrap, whose draws are a generator's: below and test_study."""
+    assert set(QUERIES) - set(ORACLES) == {"injection_detect", "roc_points", "operating_point", "bootstrap_did", "mde", "study_results", "study_sensitivity", "study_intervals"}
 
 
 def test_bootstrap_queries_are_a_plain_loop_over_weeks(spark, sf_dir):
