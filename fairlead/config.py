@@ -32,6 +32,8 @@ K_GRID = tuple(i / 4 for i in range(4, 17))
 WEEK_CHOICES = (2, 3, 4, 6)
 CUSUM_REF, CUSUM_GRID = 0.5, (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
 INJECTED_SIZES, INJECTED_DAYS, AFTER_DAYS, TARGET_DETECTION = (0.1, 0.2, 0.3, 0.4, 0.5), (1, 2, 7), 7, 0.9
+#: Size and days of the event that the operating point must find, and of the weak, lasting one.
+CASE_EVENT, WEAK_EVENT = (0.3, 2), (0.1, 7)
 ROLLING_DAYS = 7
 BOOTSTRAP_N, ALPHA, DID_SEED = 2000, 0.05, 20261028
 

@@ -12,7 +12,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -166,8 +166,8 @@ def injected(series: DataFrame, ks: tuple[float, ...] = (C.K,), sizes=C.INJECTED
     """Events injected into a whole-day series: series, start, days, size, way, k, hit, delay.
 
     Each event multiplies `days` days by 1 + way * size (whole numbers stay whole), reruns baseline and walk-forward rule
-    from its start to `after` days past it, and is hit when a day signals its way that did not before. Starts are dealt
-    out in chunks; a task holds one series and needs no other.
+    from its start to `after` days past it, and is hit when a day signals its way that did not before. Events whose days
+    to watch go past the last day are left out. Starts are dealt out in chunks; a task holds one series and needs no other.
     """
     arrays = series.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("day", "value"))).alias("s"))
     span = F.datediff(F.element_at("s", -1)["day"], F.element_at("s", 1)["day"])
@@ -196,12 +196,14 @@ def injected(series: DataFrame, ks: tuple[float, ...] = (C.K,), sizes=C.INJECTED
                         continue
                     before = np.sort(e[:start][~np.isnan(e[:start])]).tolist()
                     for length in lengths:
+                        if start + length + after > n:
+                            continue
                         for size in sizes:
                             for way in (1, -1):
                                 y = x.copy()
                                 y[start : start + length] = np.round(y[start : start + length] * (1 + way * size))
                                 y, past, delays = y.tolist(), before.copy(), dict.fromkeys(ks, -1)
-                                for t in range(start, min(n, start + length + after)):
+                                for t in range(start, start + length + after):
                                     limit = C.MAD_SCALE * _mad_of_sorted(past)
                                     now = y[t] / base(y, t) - 1
                                     for k in ks:
@@ -221,13 +223,23 @@ def detection(events: DataFrame, by: tuple[str, ...] = ("series", "days", "size"
 
 
 def roc(rates: DataFrame, alarms: DataFrame) -> DataFrame:
-    """Detection rate against false alarms per 30 days, for each series and k."""
-    return rates.groupBy("series", "k").agg((F.sum("hits") / F.sum("n")).alias("rate")).join(alarms.select("series", "k", "per_30"), ["series", "k"])
+    """series, k, per_30 (false alarms in 30 days) and detection rates: of the case event, the weak one, all of the case's size, and all."""
 
+    def rate(which: Column) -> Column:
+        return F.sum(F.when(which, F.col("hits"))) / F.nullif(F.sum(F.when(which, F.col("n"))), F.lit(0))
 
-def operating_point(points: DataFrame, target: float = C.TARGET_DETECTION) -> DataFrame:
-    """The largest k that still detects at the target rate."""
-    return points.groupBy("series").agg(F.max(F.when(F.col("rate") >= target, F.col("k"))).alias("k"))
+    size = lambda s: F.abs(F.col("size") - s) < 1e-9
+    event = lambda e: size(e[0]) & (F.col("days") == e[1])
+    found = rates.groupBy("series", "k").agg(rate(event(C.CASE_EVENT)).alias("case_rate"), rate(event(C.WEAK_EVENT)).alias("weak_rate"), rate(size(C.CASE_EVENT[0])).alias("size_rate"), rate(F.lit(True)).alias("rate"))
+    return found.join(alarms.select("series", "k", "per_30"), ["series", "k"])
+
+
+def operating_point(points: DataFrame, target: float = C.TARGET_DETECTION, usual: float = C.K) -> DataFrame:
+    """series, the largest k that still detects the case event at the target rate with its rate and alarms, and those of the usual k."""
+    best = F.max(F.when(F.col("case_rate") >= target, F.struct("k", "case_rate", "per_30")))
+    own = F.max(F.when(F.col("k") == usual, F.struct("case_rate", "per_30")))
+    t = points.groupBy("series").agg(best.alias("b"), own.alias("u"))
+    return t.select("series", "b.k", "b.case_rate", "b.per_30", F.col("u.case_rate").alias("usual_case_rate"), F.col("u.per_30").alias("usual_per_30"))
 
 
 def placebo(series: DataFrame, day: str) -> DataFrame:

@@ -98,6 +98,8 @@ def plain_injected(values, ks, sizes, lengths, after=C.AFTER_DAYS, least=C.MIN_L
     judged = [d for d in span if d in values and sum(t < d for t in e0) >= least]
     for start in judged:
         for n in lengths:
+            if start + timedelta(days=n + after) > last + timedelta(days=1):
+                continue
             for size in sizes:
                 for way in (1, -1):
                     stop = start + timedelta(days=n)
@@ -121,22 +123,29 @@ def test_events_start_on_all_days_of_a_series_with_gaps(spark):
 
 def test_the_study_takes_all_days_and_series_on_the_whole_grid(spark, tmp_path):
     r = np.random.default_rng(11)
-    of = {"a": (date(1995, 3, 1), 66), "b": (date(1997, 5, 1), 64)}
+    of = {"a": (date(1995, 3, 1), 80), "b": (date(1997, 5, 1), 84)}
     counts = {s: {d + timedelta(days=i): float(v) for i, v in enumerate(r.integers(0, 9, n)) if v} for s, (d, n) in of.items()}
     rows = [(s, d) for s, v in counts.items() for d, n in v.items() for _ in range(int(n))]
     spark.createDataFrame(rows, "o_orderpriority string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
-    rates = {}
+    rates, case = {}, {}
     for s, v in counts.items():
         events = plain_injected(v, C.K_GRID, C.INJECTED_SIZES, C.INJECTED_DAYS)
         rates |= {(s, k): [e[5] for e in events if e[4] == k] for k in C.K_GRID}
+        case |= {(s, k): np.mean([e[5] for e in events if e[4] == k and (e[2], e[1]) == C.CASE_EVENT]) for k in C.K_GRID}
     detected = {(x.series, x.days, x["size"], x.way, x.k): (x.n, x.hits) for x in queries.injection_detect(spark, str(tmp_path)).collect()}
     assert len(detected) == 2 * len(C.INJECTED_SIZES) * len(C.INJECTED_DAYS) * 2
     assert {s: sum(h for (t, *_), (_, h) in detected.items() if t == s) for s in of} == {s: sum(rates[s, C.K]) for s in of}
     assert {s: sum(n for (t, *_), (n, _) in detected.items() if t == s) for s in of} == {s: len(rates[s, C.K]) for s in of}
-    points = {(x.series, x.k): x.rate for x in queries.roc_points(spark, str(tmp_path)).collect()}
-    assert points == pytest.approx({at: np.mean(v) for at, v in rates.items()})
-    best = {x.series: x.k for x in queries.operating_point(spark, str(tmp_path)).collect()}
-    assert best == {s: max((k for k in C.K_GRID if np.mean(rates[s, k]) >= C.TARGET_DETECTION), default=None) for s in of}
+    points = {(x.series, x.k): x for x in queries.roc_points(spark, str(tmp_path)).collect()}
+    assert {at: x.rate for at, x in points.items()} == pytest.approx({at: np.mean(v) for at, v in rates.items()})
+    assert {at: x.case_rate for at, x in points.items()} == pytest.approx(case)
+    for x in queries.operating_point(spark, str(tmp_path)).collect():
+        k = max((k for k in C.K_GRID if case[x.series, k] >= C.TARGET_DETECTION), default=None)
+        assert (x.k, x.case_rate, x.per_30) == ((k, points[x.series, k].case_rate, points[x.series, k].per_30) if k else (None, None, None))
+        assert x.usual_case_rate == pytest.approx(case[x.series, C.K])
+    points = queries.roc_points(spark, str(tmp_path))
+    easy = evaluate.operating_point(points, 0.01).collect()
+    assert [x.k for x in easy] == [max(k for k in C.K_GRID if case[x.series, k] >= 0.01) for x in easy]
 
 
 def test_mad_of_sorted_values():
