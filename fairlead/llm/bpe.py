@@ -201,7 +201,13 @@ class Vocabulary:
         if len(known) + len(new) > KEPT_PRETOKENS:
             known.clear()
             new = list(parts)
-        return {p: self.split(p) for p in new}
+        return {p: [p] if self._plain(p) else self.split(p) for p in new}
+
+    @staticmethod
+    def _plain(part: str) -> bool:
+        """Whether a chunk is ASCII letters or digits alone, after one space or none: the splitter keeps it whole."""
+        core = part[1:] if part[:1] == " " else part
+        return core.isascii() and (core.isalpha() or core.isdigit())
 
     def learn(self, parts: Iterable[str]) -> None:
         """Make `encoded` hold every given chunk."""
@@ -288,7 +294,12 @@ class Vocabulary:
         return count
 
     def prefix_tables(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """prefix_table of many short pieces at once: position by position over all of them."""
+        """prefix_table of many short pieces at once."""
+        count, sizes = self._prefix_matrix(pieces)
+        return [count[: n + 1, k] for k, n in enumerate(sizes.tolist())]
+
+    def _prefix_matrix(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, a row a position and a column a piece; sizes), filled position by position over all pieces."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -309,7 +320,7 @@ class Vocabulary:
                 hit = rows[ok]
                 last[i, hit], count[i, hit] = token[ok], count[j, hit] + 1
                 rows = rows[~ok]
-        return [count[: n + 1, k] for k, n in enumerate(sizes.tolist())]
+        return count, sizes
 
     def _token_at(self, span: SpanHasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if self._token_hashes is None:
@@ -319,9 +330,15 @@ class Vocabulary:
             hashes = SpanHasher(np.frombuffer(b"".join(raw), np.uint8))(np.concatenate([[0], ends[:-1]]), ends)
             order = np.argsort(hashes)
             self._token_hashes, self._token_ids = hashes[order], ids[order]
+            self._seen_hashes = np.zeros(1 << 20, bool)
+            self._seen_hashes[hashes >> np.uint64(44)] = True
         h = span(start, end)
+        out = np.full(len(h), -1, np.int32)
+        some = np.flatnonzero(self._seen_hashes[h >> np.uint64(44)])  # most spans are no token
+        h = h[some]
         at = np.minimum(np.searchsorted(self._token_hashes, h), len(self._token_hashes) - 1)
-        return np.where(self._token_hashes[at] == h, self._token_ids[at], -1)
+        out[some] = np.where(self._token_hashes[at] == h, self._token_ids[at], -1)
+        return out
 
     def count_batch(self, texts: list[str]) -> list[int]:
         """Token count of each whole text: the sum of the last prefix counts of its pretokens."""
@@ -339,9 +356,10 @@ class Vocabulary:
         for own in classes.values():
             for lo in range(0, len(own), 50_000):
                 block = own[lo : lo + 50_000]
-                totals.update(zip(block, (int(t[-1]) for t in self.prefix_tables([p.encode("utf-8", "surrogatepass") for p in block])), strict=True))
+                count, sizes = self._prefix_matrix([p.encode("utf-8", "surrogatepass") for p in block])
+                totals.update(zip(block, count[sizes, np.arange(len(block))].tolist(), strict=True))
         for p, own in new.items():
-            counted[p] = sum(map(totals.__getitem__, own))
+            counted[p] = totals[own[0]] if len(own) == 1 else sum(map(totals.__getitem__, own))
         return [sum(map(counted.__getitem__, p)) for p in pieces]
 
     def prefix_counts(self, text: str) -> np.ndarray:
