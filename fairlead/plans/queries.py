@@ -859,9 +859,9 @@ def _study_daily(spark, sf, variants=None) -> DataFrame:
     return study.daily_metrics(events, evaluate.sample_days(spark, _EV, tuple(range(7))), variants or _VARIANTS)
 
 
-@query(f'WITH {_STUDY} SELECT variant, CAST(day AS VARCHAR) AS day, "window", CAST(block AS VARCHAR) AS block, h1, h2_top, h2_bottom, round(h3, 4) AS h3, outward, outward_evaluable FROM DM')
+@query(f'WITH {_STUDY} SELECT variant, CAST(day AS VARCHAR) AS day, "window", CAST(block AS VARCHAR) AS block, h1, h2_top, h2_bottom, round(h3, 6) AS h3, outward, outward_evaluable FROM DM')
 def study_metrics(spark, sf):
-    return text_day(text_day(_study_daily(spark, sf), "block")).withColumn("h3", F.round("h3", 4)).drop("one")
+    return text_day(text_day(_study_daily(spark, sf), "block")).withColumn("h3", F.round("h3", 6)).drop("one")
 
 
 @query(f"WITH {_STUDY}, WM AS (SELECT variant, metric, count(DISTINCT day) AS days, {_WMEANS} FROM MM GROUP BY 1, 2) SELECT variant, metric, days, {_WROUND} FROM WM")
