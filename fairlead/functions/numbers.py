@@ -25,6 +25,19 @@ def half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def fma(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once; no argument may be NULL."""
+    return F.reflect(F.lit("java.lang.Math"), F.lit("fma"), a, b, c).cast("double")
+
+
+def sorted_percentile(values: Column, share: float) -> Column:
+    """Linear percentile of an ascending array without NULL, not empty; the same bits as DuckDB's quantile_cont, which adds its terms by fma."""
+    place = (F.size(values) - 1) * F.lit(float(share))
+    part = place - F.floor(place)
+    at = lambda i: F.get(values, i.cast("int")).cast("double")
+    return fma(at(F.floor(place)), 1 - part, at(F.ceil(place)) * part)
+
+
 def deviation(x: Column, base: Column) -> Column:
     return x / base - 1
 

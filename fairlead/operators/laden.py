@@ -7,12 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fairlead import config as C
-from fairlead.functions.numbers import half_even, plausible_draught
+from fairlead.functions.numbers import half_even, plausible_draught, sorted_percentile
 
 
 def ship_max(history: DataFrame) -> DataFrame:
-    """mmsi, max_draught (95th percentile, linear), distinct values, days."""
-    return history.filter("draught is not null").groupBy("mmsi").agg(F.percentile("draught", 0.95).alias("max_draught"), F.countDistinct("draught").alias("values"), F.count("*").alias("days"))
+    """mmsi, max_draught (95th percentile, linear), distinct values, days.
+
+    A ship's draughts, one a day, are one array. `percentile` rounds its sum otherwise than SQL does, and a ratio on the
+    edge of a bin then falls on its other side.
+    """
+    own = history.filter("draught is not null").groupBy("mmsi").agg(F.sort_array(F.collect_list("draught")).alias("own"))
+    return own.select("mmsi", sorted_percentile(F.col("own"), 0.95).alias("max_draught"), F.size(F.array_distinct("own")).cast("long").alias("values"), F.size("own").cast("long").alias("days"))
 
 
 def draught_at_crossing(events: DataFrame, at_gate: DataFrame, ship_day: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -119,6 +120,24 @@ def test_draught_at_a_crossing_and_a_synthetic_decrease(spark):
     assert laden.synthetic_decrease(rel, limits, "2024-01-08", 0.3).filter("rel < 0.8").count() == 0
 
 
+#: Days of a ship of a large table: its day at 3.216 over its 95th percentile lies on the edge between bins 8 and 9.
+EDGE_SHIP = [1.2555, 1.5725, 1.716, 1.9537499999999999, 2.2545, 2.3835, 2.886, 2.9305, 3.146, 3.2159999999999997, 3.5164999999999997, 3.5744999999999996, 3.636, 3.8175, 3.8907499999999997, 4.1785, 4.192, 4.227, 4.386, 4.4052500000000006, 4.67725, 6.7700000000000005, 6.806, 6.8745, 7.14175]
+
+
+def test_a_ships_maximum_has_the_bits_of_sql_and_an_edge_falls_in_its_bin(spark, tmp_path):
+    r = np.random.default_rng(9)
+    ships = [EDGE_SHIP, [7.3], [4.1, 4.1]] + [list(r.integers(2000, 50000, n) / 2000) for n in r.integers(2, 80, 150)] + [list(np.repeat(r.integers(2000, 50000, 4) / 2000, r.integers(2, 9, 4))) for _ in range(50)]
+    spark.createDataFrame([(i, float(d)) for i, ship in enumerate(ships) for d in ship], "mmsi long, draught double").write.parquet(f"{tmp_path}/history")
+    history = spark.read.parquet(f"{tmp_path}/history")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW D AS SELECT * FROM '{tmp_path}/history/*.parquet'")
+    con.execute("CREATE VIEW HM AS SELECT mmsi, quantile_cont(draught, 0.95) AS max_draught, count(DISTINCT draught) AS values, count(*) AS days FROM D GROUP BY 1")
+    most = laden.ship_max(history)
+    assert sorted(map(tuple, most.collect())) == con.execute("SELECT * FROM HM ORDER BY mmsi").fetchall()
+    bins = traffic.histogram(laden.relative(history, most), "mmsi", "rel", 0.3, 1.2, 48)
+    assert sorted(map(tuple, bins.collect())) == con.execute("SELECT mmsi, CAST(least(floor((rel - 0.3::DOUBLE) / (1.2::DOUBLE - 0.3::DOUBLE) * 48), 47) AS INT) AS bin, count(*) AS n FROM (SELECT mmsi, draught / max_draught AS rel FROM D JOIN HM USING (mmsi) WHERE values >= 2) WHERE rel BETWEEN 0.3::DOUBLE AND 1.2::DOUBLE GROUP BY 1, 2 ORDER BY 1, 2").fetchall()
+
+
 def test_concentration_ranks_in_parts_as_it_would_whole(spark):
     r = np.random.default_rng(0)
     rows = [(int(m), datetime(2024, 1, 1 + int(d)), "u", "g", "Tanker") for m, d in zip(r.integers(0, 60, 900), r.integers(0, 9, 900), strict=True)]
